@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.llm import bpe, chat, sstable
+from changeloom.llm import bpe, chat, crf, lines, sstable
 from changeloom.llm.shared import Scratch
 
 
@@ -58,6 +58,25 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by a chain of its lines."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = crf.train(docs, _read(spark, sf_dir, "labels"))
+    return crf.score(docs, model).select(
+        "doc_id",
+        (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the units that came before, and where they were."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lines.dedup(docs, Scratch(spark, "op10"))
+    return out.select("doc_id", "n_units", "n_removed", "removed_spans", F.sha2("text", 256).alias("kept_sha256"), "text")
+
+
 _ORACLE_OP7 = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -78,7 +97,7 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM esc GROUP BY conv_id
 """
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_sstable": op2_sstable, "op7_chat": op7_chat}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_sstable": op2_sstable, "op7_chat": op7_chat, "op9_crf": op9_crf, "op10_lines": op10_lines}
 _ORACLES: dict[str, str] = {"op7_chat": _ORACLE_OP7}
 
 

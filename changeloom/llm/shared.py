@@ -89,3 +89,47 @@ def byte_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+_SEED = np.random.default_rng(20240229)
+_LETTER = _SEED.integers(1, 1 << 64, 256, dtype=np.uint64)
+_LETTER[65:91] = _LETTER[97:123]  # A-Z count as a-z
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 20)
+        _POWERS[:] = [np.cumprod(np.concatenate([[1], np.full(size - 1, b % 2**64, np.uint64)]).astype(np.uint64)) for b in (_BASE, pow(_BASE, -1, 2**64))]
+    return _POWERS[0][:n], _POWERS[1]
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads every bit."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hash, document, start, stop) of every word [^\\x20\\x09-\\x0D]+, A-Z lower-cased; words end with their text."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+    up, down = _powers(n)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_LETTER[data] * up, out=total[1:])
+    inside = ~_BLANK[data]
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1] | edge[1:-1]
+    closes = inside.copy()
+    closes[:-1] &= ~inside[1:] | edge[1:-1]
+    starts, stops = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    doc = np.searchsorted(offsets, starts, "right") - 1
+    h = (total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64)
+    return mix(h), doc, starts, stops

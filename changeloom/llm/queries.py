@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.llm import bpe, chat, crf, lines, sstable
+from changeloom.llm import bpe, chat, crf, lines, minhash, sstable
 from changeloom.llm.shared import Scratch
 
 
@@ -35,6 +35,11 @@ def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_tables(manifest).drop("token_ids")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate group."""
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), Scratch(spark, "op5"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and the control conversation -7, formatted and read back."""
     spoof = r"\### Assistant: </turn> ok"
@@ -97,8 +102,34 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM esc GROUP BY conv_id
 """
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_sstable": op2_sstable, "op7_chat": op7_chat, "op9_crf": op9_crf, "op10_lines": op10_lines}
-_ORACLES: dict[str, str] = {"op7_chat": _ORACLE_OP7}
+_ORACLE_OP5 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s
+  FROM words
+), items AS (
+  SELECT doc_id, unnest(s) AS x FROM sets
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sets p ON p.doc_id = a JOIN sets q ON q.doc_id = b
+  WHERE 100 * n >= 75 * (len(p.s) + len(q.s) - n)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS c FROM sets
+  UNION
+  SELECT reach.doc_id, edges.b FROM reach JOIN edges ON reach.c = edges.a
+)
+SELECT doc_id, any_value(len(s))::BIGINT AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept
+FROM reach JOIN sets USING (doc_id) GROUP BY doc_id
+"""
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_sstable": op2_sstable, "op5_minhash": op5_minhash, "op7_chat": op7_chat, "op9_crf": op9_crf, "op10_lines": op10_lines}
+_ORACLES: dict[str, str] = {"op5_minhash": _ORACLE_OP5, "op7_chat": _ORACLE_OP7}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

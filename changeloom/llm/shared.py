@@ -103,7 +103,9 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, 1 << 20)
-        _POWERS[:] = [np.cumprod(np.concatenate([[1], np.full(size - 1, b % 2**64, np.uint64)]).astype(np.uint64)) for b in (_BASE, pow(_BASE, -1, 2**64))]
+        factors = np.full((2, size), 1, np.uint64)
+        factors[0, 1:], factors[1, 1:] = _BASE, pow(_BASE, -1, 2**64)
+        _POWERS[:] = np.cumprod(factors, axis=1)
     return _POWERS[0][:n], _POWERS[1]
 
 

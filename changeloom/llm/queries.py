@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.llm import bpe, chat, crf, lines, minhash, sstable
+from changeloom.llm import ann, bpe, chat, crf, lines, minhash, sstable
 from changeloom.llm.shared import Scratch
 
 
@@ -35,6 +35,11 @@ def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_tables(manifest).drop("token_ids")
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector."""
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5, Scratch(spark, "op3"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate group."""
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), Scratch(spark, "op5"))
@@ -128,7 +133,7 @@ SELECT doc_id, any_value(len(s))::BIGINT AS n_shingles, min(c) AS component_id,
 FROM reach JOIN sets USING (doc_id) GROUP BY doc_id
 """
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_sstable": op2_sstable, "op5_minhash": op5_minhash, "op7_chat": op7_chat, "op9_crf": op9_crf, "op10_lines": op10_lines}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_sstable": op2_sstable, "op3_ann": op3_ann, "op5_minhash": op5_minhash, "op7_chat": op7_chat, "op9_crf": op9_crf, "op10_lines": op10_lines}
 _ORACLES: dict[str, str] = {"op5_minhash": _ORACLE_OP5, "op7_chat": _ORACLE_OP7}
 
 

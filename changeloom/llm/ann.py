@@ -163,11 +163,10 @@ def search(table: DataFrame, queries: DataFrame, k: int, n_queries: int) -> Data
     best score.
     """
     blocks = max(1, -(-n_queries // QUERIES))
-    places = table.select("dim", "shard").distinct()
-    asked = queries.select("id", "vector", F.size("vector").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    asked = asked.join(places, "dim").select("dim", "shard", "block", "id", "vector")
+    places = table.groupBy(F.col("dim").alias("q_dim"), F.col("shard").alias("q_shard")).agg(F.count("*").alias("nodes"))
+    asked = queries.select("id", "vector", F.size("vector").alias("q_dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("q_block"))
+    asked = asked.join(places, "q_dim").select("q_dim", "q_shard", "q_block", "id", "vector")
     copies = table.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<int>")))
-    keys = ["dim", "shard", "block"]
 
     def walk(nodes: pa.Table, block: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
@@ -192,7 +191,7 @@ def search(table: DataFrame, queries: DataFrame, k: int, n_queries: int) -> Data
                                 out["score"].append(float(score[f]))
         return pa.table(out, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
-    found = copies.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(walk, "query_id bigint, vec_id bigint, score double")
+    found = copies.groupBy("dim", "shard", "block").cogroup(asked.groupBy("q_dim", "q_shard", "q_block")).applyInArrow(walk, "query_id bigint, vec_id bigint, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -20,6 +20,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,7 +42,8 @@ BLOCK_BYTES, SHARD_BYTES, BLOOM_BITS, BLOOM_HASHES = 64 << 10, 256 << 20, 10, 7
 MAGIC = b"CLSST1\0\0"
 _FOOTER = struct.Struct("<QQQQQQBI8s")
 #: Distinct words that a Python worker remembers; beyond it the memory is emptied.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 1_000_000
+_MARKS = frozenset(".,;:!?")
 
 
 def key_of(value: Any) -> bytes:
@@ -211,17 +213,37 @@ class Words:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = list(set().union(*split).difference(self.known))
+        seen = set().union(*split)
+        new = seen.difference(self.known)
+        if len(self.known) + len(new) > MEMORY_WORDS:
+            self.known = {"": b""}
+            new = seen
         if new:
-            if len(self.known) + len(new) > MEMORY_WORDS:
-                self.known = {"": b""}
-                new = list(set().union(*split).difference(self.known))
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            kind = self.kind
-            self.known.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(new, found, strict=True))
+            self._learn(new)
         known = self.known
         return [b"".join([known[w] for w in words]) for words in split]
 
+    def _learn(self, new: set[str]) -> None:
+        """Remember words; one that is letters and a mark behind is the two, and ASCII capitals are small letters."""
+        known, plain, made = self.known, set(), []
+        for word in new:
+            base = word.lower() if word.isascii() else word
+            bare, mark = base[:-1], base[-1:]
+            if mark in _MARKS and bare.isalpha() and bare.lower().isalpha():
+                plain.add(bare)
+                plain.add(mark)
+                made.append((word, bare, mark))
+            elif base != word:
+                plain.add(base)
+                made.append((word, base, ""))
+            elif word:
+                plain.add(word)
+        ask = [w for w in plain if w not in known]
+        found = self.tokenizer.encode_batch_fast(ask, add_special_tokens=False)
+        code = "H" if self.kind is np.uint16 else "I"
+        known.update((w, array(code, e.ids).tobytes()) for w, e in zip(ask, found, strict=True))
+        known.update((w, known[a] + known[b]) for w, a, b in made)
+
 
 @lru_cache(maxsize=2)
 def words(path: str) -> Words:

@@ -22,13 +22,20 @@ def register(name: str, oracle: str | None = None):
     return add
 
 
+def _load() -> None:
+    from changeloom.plans import queries_rows, queries_sets  # noqa: F401  they register themselves
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    """The changefeed query."""
+    return queries()["changefeed"](spark, sf_dir)

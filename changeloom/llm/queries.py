@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.llm import ann, bpe, chat, crf, decontam, lines, minhash, sstable
+from changeloom.llm import ann, bpe, chat, crf, decontam, hmm, lines, minhash, sstable
 from changeloom.llm.shared import Scratch
 
 
@@ -73,6 +73,11 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under the hidden Markov model, beside the unigram's."""
+    return hmm.score(_read(spark, sf_dir, "documents"), Scratch(spark, "op8"))
+
+
 def op9_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality by a chain of its lines."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -138,7 +143,7 @@ SELECT doc_id, any_value(len(s))::BIGINT AS n_shingles, min(c) AS component_id,
 FROM reach JOIN sets USING (doc_id) GROUP BY doc_id
 """
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_sstable": op2_sstable, "op3_ann": op3_ann, "op5_minhash": op5_minhash, "op6_cgk": op6_cgk, "op7_chat": op7_chat, "op9_crf": op9_crf, "op10_lines": op10_lines}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_sstable": op2_sstable, "op3_ann": op3_ann, "op5_minhash": op5_minhash, "op6_cgk": op6_cgk, "op7_chat": op7_chat, "op8_hmm": op8_hmm, "op9_crf": op9_crf, "op10_lines": op10_lines}
 _ORACLES: dict[str, str] = {"op5_minhash": _ORACLE_OP5, "op7_chat": _ORACLE_OP7}
 
 

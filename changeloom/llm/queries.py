@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.llm import ann, bpe, chat, crf, decontam, hmm, lines, minhash, sstable
+from changeloom.llm import ann, bpe, chat, crf, decontam, hmm, lines, minhash, sstable, suffix
 from changeloom.llm.shared import Scratch
 
 
@@ -40,6 +40,11 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5, Scratch(spark, "op3"))
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes without 50-byte strings of smaller documents, as digests."""
+    return suffix.remove_repeats(_read(spark, sf_dir, "documents"), Scratch(spark, "op4")).drop("kept", "spans")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate group."""
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), Scratch(spark, "op5"))
@@ -143,7 +148,7 @@ SELECT doc_id, any_value(len(s))::BIGINT AS n_shingles, min(c) AS component_id,
 FROM reach JOIN sets USING (doc_id) GROUP BY doc_id
 """
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_sstable": op2_sstable, "op3_ann": op3_ann, "op5_minhash": op5_minhash, "op6_cgk": op6_cgk, "op7_chat": op7_chat, "op8_hmm": op8_hmm, "op9_crf": op9_crf, "op10_lines": op10_lines}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_sstable": op2_sstable, "op3_ann": op3_ann, "op4_suffix": op4_suffix, "op5_minhash": op5_minhash, "op6_cgk": op6_cgk, "op7_chat": op7_chat, "op8_hmm": op8_hmm, "op9_crf": op9_crf, "op10_lines": op10_lines}
 _ORACLES: dict[str, str] = {"op5_minhash": _ORACLE_OP5, "op7_chat": _ORACLE_OP7}
 
 

@@ -371,3 +371,76 @@ def l4(spark, d):
 def l9(spark, d):
     n = spark.read.parquet(f"{d}/nation.parquet").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("tables"))
     return schemas.split_multi(n)
+
+
+@register("s1_change_log", "SELECT event_id % 8 AS region_id, count(*) AS n_rows, max(event_id * 10) AS last_ts FROM events GROUP BY 1")
+def s1(spark, d):
+    from changeloom.sources.changelog import ChangeLogSource
+
+    path, k = work_dir(spark, "changelog"), F.col("event_id")
+    e = spark.read.parquet(f"{d}/events.parquet")
+    e.select(F.to_json(F.struct(F.lit("row").alias("kind"), (k % 8).alias("region_id"), k.cast("string").alias("key"), (k * 10 - 1).alias("start_ts"), (k * 10).alias("commit_ts"), F.col("props").alias("value"))).alias("value")).repartition(3).write.text(path)
+    spark.dataSource.register(ChangeLogSource)
+    log = spark.read.format("changelog").option("path", path).load()
+    return log.groupBy("region_id").agg(F.count("*").alias("n_rows"), F.max("commit_ts").alias("last_ts"))
+
+
+@register("s3_event_store", C + "SELECT table_id, count(*) AS n_rows, min(commit_ts) AS first_ts, max(commit_ts) AS last_ts FROM c GROUP BY 1")
+def s3(spark, d):
+    path = work_dir(spark, "store")
+    storage.write_log(derived.orders_changes(spark, d), path)
+    g = spark.read.parquet(path).groupBy("table_id").agg(F.count("*").alias("n_rows"), F.min("commit_ts").alias("first_ts"), F.max("commit_ts").alias("last_ts"))
+    return g.withColumn("table_id", F.col("table_id").cast("long"))
+
+
+@register("s9_consumer_flush", C + ", p AS (SELECT commit_ts % 4 AS partition, max(commit_ts) AS mark FROM c GROUP BY 1), w AS (SELECT min(mark) - 20000000000000000 AS global FROM p) SELECT commit_ts % 4 AS partition, table_id, count(*) AS flushed FROM c, w WHERE commit_ts <= global GROUP BY ALL")
+def s9(spark, d):
+    rows = derived.orders_changes(spark, d).withColumn("partition", F.col("commit_ts") % 4)
+    level = rows.groupBy("partition").agg(F.max("commit_ts").alias("mark")).agg((F.min("mark") - 20000000000000000).alias("global"))
+    emitted = merging.resolve_into(rows.join(F.broadcast(level)), F.col("global")).where("emitted")  # level is one row
+    return emitted.groupBy("partition", "table_id").agg(F.count("*").alias("flushed"))
+
+
+@register("p4_redo_split", C + "SELECT row_key, 'D' AS row_type FROM c WHERE row_type = 'U' AND pre_key <> post_key UNION ALL SELECT row_key, 'I' FROM c WHERE row_type = 'U' AND pre_key <> post_key UNION ALL SELECT row_key, row_type FROM c WHERE NOT (row_type = 'U' AND pre_key <> post_key)")
+def p4(spark, d):
+    from changeloom.operators import rewrite
+
+    path = work_dir(spark, "redo")
+    storage.write_redo(derived.orders_changes(spark, d), path, 0, 2**62)
+    return rewrite.split_updates(storage.read_redo(spark, path), ["key"]).select("row_key", "row_type")
+
+
+@register("q6_emission_order", C + "SELECT row_key, CAST(row_number() OVER (PARTITION BY table_id, commit_ts // 1000000000000000 ORDER BY dml_order, row_key) AS INTEGER) AS place FROM c")
+def q6(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("table_id", "commit_ts").orderBy("dml_order", "row_key")
+    return coarse(spark, d).select("row_key", F.row_number().over(w).alias("place"))
+
+
+@register("k2_worker_hint", C + ", k AS (SELECT DISTINCT table_id, CAST(row_key AS BIGINT) AS txn, commit_ts, unnest([pre_cust, post_cust]) AS cust FROM c), l AS (SELECT *, lag(txn) OVER (PARTITION BY table_id, cust ORDER BY commit_ts, txn) AS after FROM k WHERE cust IS NOT NULL) SELECT table_id, count(DISTINCT txn) AS waiting FROM l WHERE after IS NOT NULL AND after <> txn GROUP BY 1")
+def k2(spark, d):
+    keyed = merging.conflict_keys(derived.orders_changes(spark, d), [["cust"]]).withColumn("txn", F.col("row_key").cast("long"))
+    return merging.dependencies(keyed, "txn").groupBy("table_id").agg(F.count_distinct("txn").alias("waiting"))
+
+
+@register("f12_ddl_scope", D + "SELECT table_id, version, CASE WHEN ddl_type = 'create table' THEN 'ddl' WHEN ddl_type IN ('add column', 'drop column') THEN 'single' WHEN ddl_type = 'rename table' THEN 'tables' ELSE 'table' END AS scope FROM d")
+def f12(spark, d):
+    return schemas.ddl_scope(derived.ddl_history(spark)).select("table_id", "version", "scope")
+
+
+@register("l6_partition_effects", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 0 ELSE 1 END AS n_dropped, CASE n_nationkey % 3 WHEN 1 THEN 0 ELSE 1 END AS n_added, 3 AS n_blocked FROM nation")
+def l6(spark, d):
+    k = F.col("n_nationkey")
+    kind = F.when(k % 3 == 0, "add partition").when(k % 3 == 1, "drop partition").otherwise("truncate partition")
+    old = F.array(F.lit(100).cast("long"), k.cast("long") + 200)
+    new = F.when(k % 3 == 0, F.concat(old, F.array(k.cast("long") + 300))).when(k % 3 == 1, F.array(F.lit(100).cast("long"))).otherwise(F.array(F.lit(100).cast("long"), k.cast("long") + 400))
+    n = spark.read.parquet(f"{d}/nation.parquet").select(k, kind.alias("ddl_type"), old.alias("old_ids"), new.alias("new_ids"))
+    return schemas.physical_effects(n).select("n_nationkey", F.size("dropped").alias("n_dropped"), F.size("added").alias("n_added"), F.size("blocked").alias("n_blocked"))
+
+
+@register("l10_tables_at", D + ", v AS (SELECT *, coalesce(lead(version) OVER (PARTITION BY table_id ORDER BY version), 9223372036854775807) AS n FROM d), t AS (SELECT DISTINCT 200000000000000000 + n_nationkey * 2000000000000000 AS ts FROM nation) SELECT ts, count(*) AS n_tables, sum(n_columns)::BIGINT AS n_columns FROM t JOIN v ON version <= ts AND ts < n WHERE NOT deleted GROUP BY ts")
+def l10(spark, d):
+    ts = spark.read.parquet(f"{d}/nation.parquet").select((F.lit(200000000000000000) + F.col("n_nationkey").cast("long") * 2000000000000000).alias("ts")).distinct()
+    v = schemas.versions(derived.ddl_history(spark))
+    return ts.join(F.broadcast(v), (F.col("version") <= F.col("ts")) & (F.col("ts") < F.col("next_version"))).where("not deleted").groupBy("ts").agg(F.count("*").alias("n_tables"), F.sum("n_columns").alias("n_columns"))

@@ -21,7 +21,7 @@ def _files(path: str) -> list[str]:
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(path)
-    return sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.is_file and f.path.endswith(".jsonl"))
+    return sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.is_file and f.base_name[0] not in "._")
 
 
 def _rows(path: str, file: str) -> Iterator[tuple]:

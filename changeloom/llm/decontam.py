@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.shared import byte_column, mix, tune, word_hashes
+from changeloom.llm.shared import byte_column, gathered, mix, tune, word_hashes
 
 RATE, WALKS, BITS = 0.15, 48, 4
 #: Bytes of items that one pass over the documents holds; more items take more passes.
@@ -94,39 +94,44 @@ class Items:
         self.map[(self.gram & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         rng = np.random.default_rng(11)
         longest = int(self.sizes.max(initial=1))
-        self.moves = rng.integers(0, 2, (WALKS, 3 * longest + 3, 256), dtype=np.uint8)
+        self.moves = rng.integers(0, 2, (3 * longest + 3, WALKS * 256), dtype=np.int8)
         self.fractions = np.sort(rng.random((WALKS, BITS)), axis=1)
         self.samples = self.embed(self.low, self.starts, np.arange(len(ids)))
 
     def embed(self, low: np.ndarray, starts: np.ndarray, item: np.ndarray) -> np.ndarray:
         """(windows, WALKS, BITS) sampled bytes of the CGK walks over windows of the items' sizes."""
-        out = np.zeros((len(starts), WALKS, BITS), np.uint8)
-        if not len(starts):
-            return out
+        n = len(starts)
+        got = np.zeros((n, WALKS, BITS), np.uint8)
+        if not n:
+            return got
         order = np.argsort(-self.sizes[item], kind="stable")
-        size, start, stop = self.sizes[item][order], starts[order], np.minimum(starts + self.sizes[item], len(low))[order]
-        steps = (3 * size[:, None, None] * self.fractions).astype(np.int64)
+        size = self.sizes[item][order]
+        width = int(size[0]) + 1
+        # each window's bytes, then zeros; a walk that is through stays on a zero
+        at = starts[order][:, None] + np.arange(width)
+        inside = (np.arange(width) < size[:, None]) & (at < len(low))
+        buffer = np.where(inside, low[np.minimum(at, len(low) - 1)], 0).astype(np.uint8).ravel()
+        steps = (3 * size[:, None, None] * self.fractions).astype(np.int32)
+        due = np.argsort(steps, axis=None, kind="stable")
         last = int(steps.max())
-        place = np.repeat(start[:, None], WALKS, 1)
-        padded = np.concatenate([low, np.zeros(1, np.uint8)])
-        walk = np.arange(WALKS)
-        got = np.zeros((len(start), WALKS, BITS), np.uint8)
-        due = [np.unique(steps[:, w, b]) for w in range(WALKS) for b in range(BITS)]
-        wanted = np.zeros(last + 1, bool)
-        for d in due:
-            wanted[d] = True
+        until = np.searchsorted(steps.ravel()[due], np.arange(last + 2))
         need = steps.max((1, 2))
+        live = np.searchsorted(-need, -np.arange(last + 1), "right")
+        place = np.repeat((np.arange(n, dtype=np.int32) * width)[:, None], WALKS, 1)
+        stop = place + size[:, None].astype(np.int32)
+        row = np.arange(WALKS, dtype=np.int32) * 256
+        out = got.ravel()
         for t in range(last + 1):
-            live = int(np.searchsorted(-need, -t, "right"))
-            here = place[:live]
-            c = padded[np.where(here < stop[:live, None], here, len(low))]
-            if wanted[t]:
-                hit = steps[:live] == t
-                r, w, b = np.nonzero(hit)
-                got[r, w, b] = c[r, w]
-            here += self.moves[walk, t, c]
-        out[order] = got
-        return out
+            here = place[: live[t]]
+            c = buffer.take(here)
+            if until[t] < until[t + 1]:
+                some = due[until[t] : until[t + 1]]
+                out[some] = c[some // (WALKS * BITS), some // BITS % WALKS]
+            here += self.moves[t].take(row + c)
+            np.minimum(here, stop[: live[t]], out=here)
+        back = np.empty_like(order)
+        back[order] = np.arange(n)
+        return got[back]
 
     def windows(self, low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, start) of the windows that seeds propose."""
@@ -205,6 +210,45 @@ class Items:
         return [(d, i, distance, begin, stop) for (d, i), (distance, stop, begin) in sorted(best.items())]
 
 
+def _passes(items: DataFrame, item_col: str, item_text_col: str) -> list[tuple[list, list[str]]]:
+    """Ids and texts of the items, at most about ITEM_BYTES of text together; at least one pass."""
+    source = items.select(F.col(item_col).alias("i"), F.col(item_text_col).cast("string").alias("t")).where("t is not null and trim(t) != ''")
+    passes, ids, texts, held = [], [], [], 0
+    for row in source.toLocalIterator():
+        ids.append(row.i)
+        texts.append(row.t)
+        held += 4 * len(row.t)
+        if held > ITEM_BYTES:
+            passes.append((ids, texts))
+            ids, texts, held = [], [], 0
+    if ids or not passes:
+        passes.append((ids, texts))
+    return passes
+
+
+def clean(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that leak no item.  No shuffle; null texts stay."""
+    tune(df.sparkSession)
+    at = df.columns.index(text_col)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def one(frame: DataFrame, pass_: tuple[list, list[str]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = Items(*pass_)
+            for batch in gathered(batches):
+                data, offsets = byte_column(batch.column(at))
+                low, places, _ = normalise(data, offsets)
+                keep = np.ones(batch.num_rows, bool)
+                keep[[x[0] for x in known.leaks(low, places)] if pass_[0] else []] = False
+                yield batch.filter(pa.array(keep))
+
+        return frame.mapInArrow(run, schema)
+
+    for pass_ in _passes(items, item_col, item_text_col):
+        df = one(df, pass_)
+    return df
+
+
 def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id_col, item_col, distance, start, stop) of every leak; start and stop are byte places in the text.
 
@@ -217,24 +261,14 @@ def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     spark = df.sparkSession
     tune(spark)
     kind, item_kind = df.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
-    source = items.select(F.col(item_col).alias("i"), F.col(item_text_col).cast("string").alias("t")).where("t is not null and trim(t) != ''")
-    passes, ids, texts, held = [], [], [], 0
-    for row in source.toLocalIterator():
-        ids.append(row.i)
-        texts.append(row.t)
-        held += 4 * len(row.t)
-        if held > ITEM_BYTES:
-            passes.append((ids, texts))
-            ids, texts, held = [], [], 0
-    if ids or not passes:
-        passes.append((ids, texts))
+    passes = _passes(items, item_col, item_text_col)
     base = df.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("t"))
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, distance int, start bigint, stop bigint"
 
     def one(pass_: tuple[list, list[str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = Items(*pass_)
-            for batch in batches:
+            for batch in gathered(batches):
                 data, offsets = byte_column(batch.column(1))
                 low, places, keep = normalise(data, offsets)
                 found = known.leaks(low, places) if pass_[0] else []

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch; long texts make 10,000-row batches too large.
-BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,6 +61,7 @@ class Scratch:
         for df in frames:
             path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
             path.getFileSystem(conf).delete(path, True)
+        release(self.spark)
 
 
 def release(spark: SparkSession) -> None:
@@ -77,6 +78,19 @@ def list_array(values: np.ndarray, lengths: Iterable[int], kind: pa.DataType) ->
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
+def gathered(batches: Iterable[pa.RecordBatch], size: int = BATCH_BYTES) -> Iterable[pa.RecordBatch]:
+    """Batches put together up to about so many bytes, for code that has a cost by batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+        if batch.num_rows:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def byte_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """A string or binary column as one byte array and its n + 1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):

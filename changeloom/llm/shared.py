@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch; long texts make 10,000-row batches too large.
 BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+_OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where unset (tests) a new one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="changeloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="changeloom-"))
+        path = _OWN[0]
     return path.rstrip("/")
 
 

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Logical bits below the physical milliseconds of a timestamp.
 LOGICAL_BITS = 18
 
+#: Milliseconds of a timestamp without time zone, whatever the session's zone is.
+_MILLIS = "datediff(o_orderdate, DATE'1970-01-01') * 86400000L + hour(o_orderdate) * 3600000L + minute(o_orderdate) * 60000L + cast(extract(SECOND FROM o_orderdate) * 1000 AS bigint)"
+
 COLUMNS = ("key", "cust", "status", "price", "priority")
 
 
@@ -26,7 +29,7 @@ def orders_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     key = F.col("o_orderkey")
     kind = F.when(key % 10 < 2, "D").when(key % 10 < 5, "U").otherwise("I")
-    commit = F.expr("unix_millis(cast(o_orderdate as timestamp))") * F.lit(1 << LOGICAL_BITS) + key % (1 << LOGICAL_BITS)
+    commit = F.expr(_MILLIS) * F.lit(1 << LOGICAL_BITS) + key % (1 << LOGICAL_BITS)
     schema = F.when(key % 3 == 0, "shop").when(key % 3 == 1, "Shop_Archive").otherwise("audit")
     number = F.substring("o_orderpriority", 1, 1)
     rows = o.select(

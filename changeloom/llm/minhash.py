@@ -8,11 +8,14 @@ are cut into bands; documents that agree in a band are candidates.
 Links between different texts are all found, without emitting a group's pairs:
 
 1. Documents with one and the same set are one class, led by the smallest id.
-2. In each band's bucket, every member is tested against the bucket's smallest
-   id.  Copies of one original meet it there, however many they are.
-3. Verified links are grouped.  Where a bucket still holds several groups,
-   its members are compared by signature, block against block in memory, and
-   only pairs of different groups that are likely enough links are tested.
+2. Every document is tested against one other: the smallest id that it meets in
+   any bucket.  Copies of one original meet it there, however many they are.
+3. Verified links are grouped.  Where a bucket still holds several groups, its
+   members are compared by signature, block against block in memory; pairs of
+   different groups that are likely enough links only say which documents
+   belong to one cluster.  Each document's text goes to its cluster once a
+   block, where all pairs of different groups are counted exactly.  What comes
+   out of a block is a spanning forest, never its pairs.
 
 Tests compute both full sets and compare 100 * common >= 75 * union exactly.
 A pair at the bound shares no band with a chance of 3e-7 (40 bands of 4).
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.shared import Scratch, byte_column, mix, parts, tune, word_hashes
+from changeloom.llm.shared import Scratch, byte_column, mix, parts, release, tune, word_hashes
 
 WORDS, BANDS, ROWS = 5, 40, 4
 SLOTS = BANDS * ROWS
@@ -118,7 +121,7 @@ def sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that are links, by the full sets of their texts.
 
-    texts: (id, text).  The texts of candidates are dealt by a and a salt of at
+    texts: (id, text), joined by sorting at every size.  The texts of candidates are dealt by a and a salt of at
     most about RUN documents, with a's own text first in each run, so a leader
     of very many candidates is spread and a task holds one leader's set only.
     """
@@ -128,7 +131,7 @@ def verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     members = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("run"), F.col("b").alias("id"), F.lit(1).alias("role"))
     leaders = runs.select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.col("a").alias("id"), F.lit(0).alias("role"))
     rows = members.unionByName(leaders).groupBy("id").agg(F.collect_list(F.struct("a", "run", "role")).alias("uses"))
-    rows = texts.join(rows, "id").select("id", "text", F.explode("uses").alias("use")).select("use.a", "use.run", "use.role", "id", "text")
+    rows = texts.join(rows.hint("merge"), "id").select("id", "text", F.explode("uses").alias("use")).select("use.a", "use.run", "use.role", "id", "text")
     rows = rows.repartition(parts(pairs.sparkSession), "a", "run").sortWithinPartitions("a", "run", "role", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,10 +204,25 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return edges.withColumnsRenamed({"u": "id", "v": "root"})
 
 
-def _between(buckets: DataFrame, kind: str) -> DataFrame:
-    """Likely links between different groups of one bucket: (key, id, root, sig) to distinct (a, b)."""
+class _Forest:
+    """Union-find over the members of a block, keeping the links that joined two trees."""
+
+    def __init__(self, ids: list, groups: np.ndarray | None = None):
+        self.ids, self.edges = ids, []
+        self.tree = np.arange(len(ids)) if groups is None else groups.copy()
+
+    def join(self, x: int, others: np.ndarray) -> None:
+        for y in others:
+            if self.tree[x] != self.tree[y]:
+                self.tree[self.tree == self.tree[y]] = self.tree[x]
+                a, b = self.ids[x], self.ids[y]
+                self.edges.append((min(a, b), max(a, b)))
+
+
+def _between(buckets: DataFrame, sigs: DataFrame, kind: str) -> DataFrame:
+    """Likely links between different groups of one bucket, as a forest a block: (key, id, root) and (id, sig) to (a, b)."""
     sizes = buckets.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = buckets.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = buckets.join(sizes, "key").join(sigs, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "sig")
     rows = rows.repartition(parts(buckets.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
@@ -217,12 +235,14 @@ def _between(buckets: DataFrame, kind: str) -> DataFrame:
         first = own == i[0]
         left, right = np.flatnonzero(first), np.flatnonzero(~first) if i[0] != j[0] else np.flatnonzero(first)
         least = SLOTS * (LIKELY + (1 - LIKELY) / 256)
+        forest = _Forest(ids)
         for at in range(0, len(left), 64):
             rows_ = left[at : at + 64]
-            same = (sig[rows_, None, :] == sig[None, right, :]).sum(2)
-            for x, y in np.argwhere((same >= least) & (root[rows_, None] != root[None, right])):
-                a, b = ids[rows_[x]], ids[right[y]]
-                yield (min(a, b), max(a, b))
+            agree = (sig[rows_, None, :] == sig[None, right, :]).sum(2)
+            likely = (agree >= least) & (root[rows_, None] != root[None, right])
+            for x in np.flatnonzero(likely.any(1)):
+                forest.join(rows_[x], right[likely[x]])
+        yield from forest.edges
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -245,6 +265,65 @@ def _between(buckets: DataFrame, kind: str) -> DataFrame:
     return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
+def _inside(clusters: DataFrame, roots: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """All links between different groups of one cluster, as a forest a block: (id, root of the cluster) to (a, b)."""
+    kind = clusters.schema["id"].dataType.simpleString()
+    heads = clusters.select(F.col("root").alias("id"), "root").distinct()
+    members = clusters.unionByName(heads).withColumnRenamed("root", "cluster")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = members.join(sizes, "cluster").join(roots.withColumnRenamed("root", "grp"), "id", "left").withColumn("grp", F.coalesce("grp", "id"))
+    rows = texts.join(members.hint("merge"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "grp", "text")
+    rows = rows.repartition(parts(texts.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "own", "id")
+
+    def count(key: tuple, own: list, ids: list, groups: list, sets: list[np.ndarray]) -> list[tuple]:
+        sizes = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        element = np.concatenate(sets)
+        by = np.argsort(element, kind="stable")
+        owner, element = owner[by], element[by]
+        first = np.flatnonzero(np.append(True, element[1:] != element[:-1]))
+        length = np.diff(np.append(first, len(element)))
+        names = np.repeat(np.arange(len(first)), length)
+        place = np.empty(len(by), np.int64)
+        place[by] = names  # each element's posting list
+        starts = np.cumsum(sizes) - sizes
+        group = np.unique(np.array(groups), return_inverse=True)[1]
+        forest, side = _Forest(ids, group), np.array(own)
+        for x in np.flatnonzero(side == key[1]) if key[1] != key[2] else range(len(sets)):
+            mine = place[starts[x] : starts[x] + sizes[x]]
+            n = length[mine]
+            hits = owner[np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            common = np.bincount(hits, minlength=len(sets))
+            linked = 100 * common >= 75 * (sizes + sizes[x] - common)
+            linked &= (common > 0) & (forest.tree != forest.tree[x])
+            forest.join(x, np.flatnonzero(linked))
+        return forest.edges
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, ([], [], [], [])
+        kind_ = pa.int64() if kind == "bigint" else None
+
+        def flush() -> pa.RecordBatch:
+            found = count(at, *held) if len(set(held[2])) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], kind_), pa.array([x[1] for x in found], kind_)], ["a", "b"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
+            for key, own, name, group, elements in zip(keys, *(batch.column(c).to_pylist() for c in (3, 4, 5)), shingle_sets(batch.column(6)), strict=True):
+                if key != at:
+                    if at is not None:
+                        yield flush()
+                    at, held = key, ([], [], [], [])
+                for column, value in zip(held, (own, name, group, elements), strict=True):
+                    column.append(value)
+        if at is not None:
+            yield flush()
+
+    return scratch.keep(rows.mapInArrow(run, f"a {kind}, b {kind}"), "inside")
+
+
 def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id, kept), a row for each row.
 
@@ -265,15 +344,18 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     # 2. each bucket's members against its smallest
     members = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
     leads = members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a != z").select("key", "a")
-    pairs = members.join(leads, "key").where("id != a").select("a", F.col("id").alias("b")).distinct()
-    links = verify(pairs, texts, scratch)
+    shared = scratch.keep(members.join(leads, "key").select("key", "id", "a"), "buckets")  # buckets of several members
+    release(df.sparkSession)
+    links = verify(shared.groupBy("id").agg(F.min("a").alias("a")).where("id != a").select("a", F.col("id").alias("b")), texts, scratch)
+    release(df.sparkSession)
     roots = components(links, scratch)
     # 3. what is left between groups of one bucket
-    grouped = classes.select(F.col("rep").alias("id"), "sig", "bands").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "sig", "bands")
-    buckets = grouped.select("id", "root", "sig", F.explode("bands").alias("key"))
-    more = scratch.keep(_between(buckets, kind), "between")
-    if not more.isEmpty():
-        links = links.unionByName(verify(more, texts, scratch))
+    buckets = shared.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    likely = scratch.keep(_between(buckets, classes.select(F.col("rep").alias("id"), "sig"), kind), "likely")
+    release(df.sparkSession)
+    if not likely.isEmpty():
+        links = links.unionByName(_inside(components(likely, scratch), roots, texts, scratch))
+        release(df.sparkSession)
     roots = components(links.unionByName(copies), scratch)
     out = all_.select("id", "n").join(roots, "id", "left")
     component = F.coalesce("root", "id")

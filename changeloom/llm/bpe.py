@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from changeloom.llm.shared import list_array, tune
 
 #: Distinct words that a Python worker remembers; beyond it the memory is emptied.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 250_000
 
 _NEVER = 1 << 62
 
@@ -137,7 +137,7 @@ class Ranks:
     def compatible(self, a: int, b: int) -> bool:
         known = self._known.get((a, b))
         if known is None:
-            if len(self._known) > 2_000_000:
+            if len(self._known) > MEMORY_WORDS:
                 self._known.clear()
             known = self._known[a, b] = self._stable(a, b)
         return known

@@ -87,9 +87,10 @@ def dedup(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
     units = scratch.keep(base.mapInArrow(unit_rows, f"id {kind}, h bigint, place int, d1 bigint, d2 bigint"), "units")
     rank = F.struct(F.col("id").isNull().alias("n"), "id", "h", "place")
     firsts = units.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n"), F.max(rank).alias("last")).where("n > 1 and first != last").drop("n", "last")
+    firsts = scratch.keep(firsts, "firsts")  # else the join would run inside the grouping's tasks, and its hot keys couldn't be split
     marks = units.join(firsts, ["d1", "d2"]).where(rank != F.col("first")).groupBy("id", "h").agg(F.collect_set("place").alias("__places")).withColumnsRenamed({"id": "__id", "h": "__h"})
     marks = scratch.keep(marks, "marks")
-    scratch.drop(units)
+    scratch.drop(units, firsts)
     joined = df.withColumn("__hash", F.xxhash64(F.col(text_col))).join(marks, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left").drop("__id", "__h", "__hash")
     names = df.columns
     at = names.index(text_col)

@@ -170,6 +170,22 @@ def test_decontamination_recall():
     assert sum((n, n) in got for n in range(120)) >= 114 and all(d == i for d, i in got)
 
 
+def test_decontamination_samples_decide():
+    """Windows of other texts are rejected, whatever the longest item is, and samples don't depend on it."""
+    from changeloom.llm.shared import byte_column
+
+    items = [prose(500 + n, 40) for n in range(40)]
+    known = decontam.Items(list(range(40)), items)
+    low, places, _ = decontam.normalise(*byte_column(pa.array([prose(3000 + n, 80) for n in range(400)])))
+    for some in (np.arange(400) % 40, np.full(400, known.sizes.argmax())):
+        passed = (known.embed(low, places[:-1], some) == known.samples[some]).all(2).any(1)
+        assert passed.mean() < 0.6
+    itself = known.embed(known.low, known.starts, np.arange(40))
+    assert (itself == known.samples).all()
+    more = decontam.Items(list(range(41)), [*items, prose(7, 90)])
+    assert (more.samples[:40] == known.samples).all()
+
+
 def brute_lines(rows, min_words):
     """Units by their keys in rank order; rows of one id and text are one document."""
     seen, gone = {}, {}

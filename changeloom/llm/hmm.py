@@ -13,8 +13,9 @@ what is taken off goes to all known words by the smoothed unigram
 distribution.  Unknown words are one more type with the unigram's probability
 of it, 1 / (N + V + 1), in every state; known words share the rest.
 Rounds: the first takes each document to be in one state (that of the nearest
-centre of byte histograms, k-means over a bounded sample of SAMPLE documents);
-each later one is a Baum-Welch round with expected counts.  In training, long
+centre of byte histograms, k-means over all training documents); each later one
+is a Baum-Welch round with expected counts, until the likelihood settles, at
+most ROUNDS.  In training, long
 documents are cut into runs of RUN words; scoring is exact over whole texts,
 by products of scaled transfer matrices.
 """
@@ -34,7 +35,11 @@ from pyspark.sql import functions as F
 
 from changeloom.llm.shared import Scratch, byte_column, gathered, parts, tune, word_hashes
 
-STATES, ROUNDS, DISCOUNT, RUN, SAMPLE = 4, 2, 0.75, 512, 600
+STATES, DISCOUNT, RUN, SAMPLE = 4, 0.75, 512, 600
+#: Most steps of k-means and most Baum-Welch rounds; both stop before, once settled.
+STEPS, ROUNDS = 30, 20
+#: Baum-Welch stops when a round adds less than this share to the log likelihood.
+SETTLED = 0.0001
 #: The word that ends each document.
 END = np.uint64(0x656E64)
 FOLDS, HELD = 7, 2
@@ -63,8 +68,16 @@ def _histograms(column: pa.Array) -> np.ndarray:
     return np.sqrt(h / np.maximum(h.sum(1, keepdims=True), 1))
 
 
-def centres(df: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Starting states: k-means over the byte histograms of the SAMPLE training documents with the smallest hashes."""
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((c**2).sum(1) - 2 * (x @ c.T)).argmin(1)
+
+
+def centres(df: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> np.ndarray:
+    """Starting states: k-means over the byte histograms of all training documents.
+
+    Only the first guess is from a sample, the SAMPLE documents with the smallest
+    hashes; every step after it sums histograms of all documents by centre.
+    """
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,10 +85,13 @@ def centres(df: DataFrame, id_col: str, text_col: str) -> np.ndarray:
             h = _histograms(batch.column(1)).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in h], pa.binary())], ["id", "h"])
 
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and length(text) > 0")
-    texts = texts.where((F.crc32(F.col("id").cast("string").cast("binary")) % FOLDS != HELD) & (F.pmod(F.xxhash64("id"), F.lit(max(1, _rows(texts) // (20 * SAMPLE)))) == 0))
-    rows = texts.mapInArrow(run, f"id {kind}, h binary").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("length(text) > 0")
+    texts = texts.where(F.col("id").isNull() | (F.crc32(F.col("id").cast("string").cast("binary")) % FOLDS != HELD))
+    all_ = scratch.keep(texts.mapInArrow(run, f"id {kind}, h binary"), "histograms")
+    key = F.xxhash64("id", "h")
+    rows = all_.where(F.pmod(key, F.lit(max(1, _rows(all_) // (20 * SAMPLE)))) == 0).orderBy(key, "id").limit(SAMPLE).collect()
     if not rows:
+        scratch.drop(all_)
         return np.eye(STATES, 256)
     x = np.stack([np.frombuffer(r.h, np.float32) for r in rows]).astype(np.float64)
     c = [x[0]]
@@ -83,11 +99,34 @@ def centres(df: DataFrame, id_col: str, text_col: str) -> np.ndarray:
         c.append(x[np.min([((x - y) ** 2).sum(1) for y in c], axis=0).argmax()])
     c = np.stack(c)
     for _ in range(30):
-        own = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        own = _nearest(x, c)
         c = np.stack([x[own == k].mean(0) if (own == k).any() else c[k] for k in range(STATES)])
+    for _ in range(STEPS):
+        new = _step(all_, c)
+        moved = np.abs(new - c).max()
+        c = new
+        if moved < 1e-3:
+            break
+    scratch.drop(all_)
     return c
 
 
+def _step(histograms: DataFrame, c: np.ndarray) -> np.ndarray:
+    """Means of the histograms by nearest centre; a partition sends STATES x 257 numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((STATES, 257))
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float32).reshape(-1, 256).astype(np.float64)
+            own = np.eye(STATES)[_nearest(x, c)]
+            total[:, :256] += own.T @ x
+            total[:, 256] += own.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    total = sum(np.frombuffer(r.total).reshape(STATES, 257) for r in histograms.select("h").mapInArrow(run, "total binary").collect())
+    return np.where(total[:, 256:] > 0, total[:, :256] / np.maximum(total[:, 256:], 1), c)
+
+
 def _rows(df: DataFrame) -> int:
     return df.count()
 
@@ -152,7 +191,12 @@ def emissions(model: Model, count: np.ndarray, share: np.ndarray) -> np.ndarray:
 
 
 def expect(e: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posteriors of each token, expected moves and first states, by scaled forward and backward passes."""
+    """Posteriors of each token, expected moves and first states."""
+    return _expect(e, lengths, model)[:3]
+
+
+def _expect(e: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """What expect gives and the log likelihood of the runs, by scaled forward and backward passes."""
     start, size, _, place = _runs(lengths)
     longest = int(size[0]) if len(size) else 0
     live = np.searchsorted(-size, -np.arange(longest + 1), "left")
@@ -178,7 +222,7 @@ def expect(e: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.ndarray
         posterior[at] = forward[at] * b[: live[t]]
     posterior /= posterior.sum(1, keepdims=True)
     firsts = posterior[start[place == 0]].sum(0) if len(start) else np.zeros(STATES)
-    return posterior, moves, firsts
+    return posterior, moves, firsts, float(np.log(scale, dtype=np.float64).sum())
 
 
 def likelihood(e: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarray:
@@ -270,7 +314,7 @@ def score(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
     tune(spark)
     kind = df.schema[id_col].dataType.simpleString()
     buckets = max(parts(spark), 1)
-    tokens = pack_tokens(df, centres(df, id_col, text_col), scratch, id_col, text_col)
+    tokens = pack_tokens(df, centres(df, scratch, id_col, text_col), scratch, id_col, text_col)
 
     def first_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,20 +325,20 @@ def score(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
                 expected = np.stack([np.bincount(at, use * (own == k), len(words)) for k in range(STATES)], 1)
                 moves = np.diag([float(((lengths - 1) * train * (state == k)).sum()) for k in range(STATES)])
                 firsts = np.bincount(state, train, STATES)
-                yield from _send(row["batch"], words, expected.sum(1), expected, [*moves.ravel().tolist(), *firsts.tolist()], buckets)
+                yield from _send(row["batch"], words, expected.sum(1), expected, [*moves.ravel().tolist(), *firsts.tolist(), 0.0], buckets)
 
-    def model_of(sent: DataFrame, back: DataFrame) -> Model:
-        a, b = _sums(sent, STATES * STATES + STATES), _sums(back, 2 + 2 * STATES)
+    def model_of(sent: DataFrame, back: DataFrame) -> tuple[Model, float]:
+        a, b = _sums(sent, STATES * STATES + STATES + 1), _sums(back, 2 + 2 * STATES)
         move = a[: STATES * STATES].reshape(STATES, STATES) + 0.5 + 50 * np.eye(STATES)
-        first = a[STATES * STATES :] + 1
-        return Model(move / move.sum(1, keepdims=True), first / first.sum(), b[2 : 2 + STATES], b[2 + STATES :], int(b[0]), int(b[1]))
+        first = a[STATES * STATES : -1] + 1
+        return Model(move / move.sum(1, keepdims=True), first / first.sum(), b[2 : 2 + STATES], b[2 + STATES :], int(b[0]), int(b[1])), float(a[-1])
 
-    def exchange(sent: DataFrame, name: str) -> tuple[DataFrame, Model]:
+    def exchange(sent: DataFrame, name: str) -> tuple[DataFrame, Model, float]:
         sent = scratch.keep(sent, f"sent-{name}")
         back = scratch.keep(sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_merge, _BACK), f"back-{name}")
-        model = model_of(sent, back)
+        model, log = model_of(sent, back)
         scratch.drop(sent)
-        return back, model
+        return back, model, log
 
     def with_answers(function, back: DataFrame, schema: str) -> DataFrame:
         answers = back.where("batch >= 0").select(F.col("batch").alias("to"), "bucket", "count", "share")
@@ -309,18 +353,22 @@ def score(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
                 count, share = _answers(back)
                 at = at[np.repeat(train, lengths)]
                 e = emissions(model, count, share).astype(np.float32)[at]
-                posterior, moves, firsts = expect(e, lengths[train], model)
+                posterior, moves, firsts, log = _expect(e, lengths[train], model)
                 expected = np.stack([np.bincount(at, posterior[:, k], len(words)) for k in range(STATES)], 1)
-                out += _send(row["batch"], words, np.bincount(at, minlength=len(words)), expected, [*moves.ravel().tolist(), *np.asarray(firsts, float).tolist()], buckets)
+                out += _send(row["batch"], words, np.bincount(at, minlength=len(words)), expected, [*moves.ravel().tolist(), *np.asarray(firsts, float).tolist(), log], buckets)
             return pa.Table.from_batches(out)
 
         return run
 
-    back, model = exchange(tokens.mapInArrow(first_counts, _SENT), "first")
-    for n in range(ROUNDS - 1):
-        again, new = exchange(with_answers(expected_counts(model), back, _SENT), f"round{n}")
+    back, model, _ = exchange(tokens.mapInArrow(first_counts, _SENT), "first")
+    last = -np.inf
+    for n in range(ROUNDS):
+        again, new, log = exchange(with_answers(expected_counts(model), back, _SENT), f"round{n}")
         scratch.drop(back)
         back, model = again, new
+        if log - last <= SETTLED * abs(log):
+            break
+        last = log
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     final = model
 

@@ -124,6 +124,25 @@ def test_expectation_raises_likelihood():
     assert hmm.likelihood(e, lengths, better).sum() > before
 
 
+def test_starting_states_are_means_of_all_documents(spark, scratch, monkeypatch):
+    monkeypatch.setattr(hmm, "SAMPLE", 8)
+    r = np.random.default_rng(2)
+    texts = ["".join(r.choice(list(letters), 60)) for letters in ("abcd ", "efgh ", "ijkl ", "mnop ") for _ in range(40)]
+    rows = [(n, t) for n, t in enumerate(texts)] + [(None, "mmmm nnnn")]
+    c = hmm.centres(spark.createDataFrame(rows, "doc_id bigint, text string"), scratch, "doc_id", "text")
+    x = hmm._histograms(pa.array([t for i, t in rows if not hmm.held_out(i)]))
+    own = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+    for k in range(hmm.STATES):
+        assert (own == k).any() and np.allclose(c[k], x[own == k].mean(0), atol=2e-3)
+
+
+def test_rounds_follow_until_the_likelihood_settles(docs, scratch, monkeypatch):
+    names, keep = [], scratch.keep
+    monkeypatch.setattr(scratch, "keep", lambda df, name: names.append(name) or keep(df, name))
+    hmm.score(docs, scratch).count()
+    assert 2 <= sum(n.startswith("sent-round") for n in names) <= hmm.ROUNDS
+
+
 def test_language_model_beats_unigrams(spark, scratch):
     out = hmm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), scratch).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1]

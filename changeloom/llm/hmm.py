@@ -258,7 +258,7 @@ _BACK = "batch bigint, bucket int, count binary, share binary, stats array<doubl
 
 def _send(batch: int, words: np.ndarray, count: np.ndarray, expected: np.ndarray, stats: list[float], buckets: int) -> Iterator[pa.RecordBatch]:
     """A record for each bucket of the words; words are sorted, so a bucket is a slice."""
-    share = np.rint(expected / np.maximum(expected.sum(1, keepdims=True), 1e-12) * 255).astype(np.uint8)
+    share = np.rint(expected / np.maximum(expected.sum(1, keepdims=True), 1e-12) * 65535).astype(np.uint16)
     cuts = np.searchsorted(words, [np.uint64(b * 2**64 // buckets) for b in range(buckets)])
     cuts = np.append(cuts, len(words))
     some = np.flatnonzero(np.diff(cuts) > 0)
@@ -275,7 +275,7 @@ def _merge(table: pa.Table) -> pa.Table:
     sizes = [len(x) for x in asked]
     words, at = np.unique(np.concatenate(asked), return_inverse=True)
     count = np.concatenate([_unpack(x, np.uint32) for x in table["count"].to_pylist()])
-    share = np.concatenate([_unpack(x, np.uint8) for x in table["share"].to_pylist()]).reshape(-1, STATES).astype(np.float64)
+    share = np.concatenate([_unpack(x, np.uint16) for x in table["share"].to_pylist()]).reshape(-1, STATES).astype(np.float64)
     share /= np.maximum(share.sum(1, keepdims=True), 1)
     total = np.bincount(at, count, len(words))
     by_state = np.stack([np.bincount(at, count * share[:, k], len(words)) for k in range(STATES)], 1)

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from llm_corpus import corpus
 from pyspark.sql import functions as F
@@ -136,6 +137,14 @@ def test_starting_states_are_means_of_all_documents(spark, scratch, monkeypatch)
         assert (own == k).any() and np.allclose(c[k], x[own == k].mean(0), atol=2e-3)
 
 
+def test_small_expected_counts_survive_the_exchange():
+    words = np.array([5, 9], np.uint64)
+    expected = np.array([[999.0, 1.0, 0, 0], [10.0, 0, 30, 0]])
+    sent = pa.Table.from_batches(list(hmm._send(0, words, expected.sum(1), expected, [0.0], 1))).filter(pa.compute.field("bucket") >= 0)
+    stats = hmm._merge(sent)["stats"].to_pylist()[-1]
+    assert np.allclose(stats[2 : 2 + hmm.STATES], expected.sum(0), atol=0.05)
+
+
 def test_rounds_follow_until_the_likelihood_settles(docs, scratch, monkeypatch):
     names, keep = [], scratch.keep
     monkeypatch.setattr(scratch, "keep", lambda df, name: names.append(name) or keep(df, name))

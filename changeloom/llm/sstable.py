@@ -17,6 +17,7 @@ do no harm.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -34,7 +35,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from changeloom.llm.shared import Scratch, parts, tune
 
@@ -44,6 +45,8 @@ _FOOTER = struct.Struct("<QQQQQQBI8s")
 #: Distinct words that a Python worker remembers; beyond it the memory is emptied.
 MEMORY_WORDS = 1_000_000
 _MARKS = frozenset(".,;:!?")
+#: Letters that the tokenizer's normaliser leaves as they are.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 
 
 def key_of(value: Any) -> bytes:
@@ -199,50 +202,46 @@ def open_table(uri: str) -> Reader:
     return Reader(fs.open_input_file(path))
 
 
-class Words:
-    """A tokenizers file, with a memory of the words between spaces and newlines.
+class Words(dict):
+    """Each word's packed ids by a tokenizers file; a word that isn't remembered is encoded when it is looked up.
 
     The tokenizer's normaliser and splitter never look across white space, so
-    a text's ids are those of its words, one after the other.
+    a text's ids are those of its words, one after the other.  A word of small
+    Latin letters passes both unchanged and goes to the tokenizer's model
+    itself; capitals are their small letters; a mark behind letters is a word
+    of its own.  Everything else goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {"": b""}
+        self.code = "H" if self.kind is np.uint16 else "I"
+        alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.byte_letters = {c: alphabet.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        self.model = self.tokenizer.model
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        seen = set().union(*split)
-        new = seen.difference(self.known)
-        if len(self.known) + len(new) > MEMORY_WORDS:
-            self.known = {"": b""}
-            new = seen
-        if new:
-            self._learn(new)
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
-
-    def _learn(self, new: set[str]) -> None:
-        """Remember words; one that is letters and a mark behind is the two, and ASCII capitals are small letters."""
-        known, plain, made = self.known, set(), []
-        for word in new:
-            base = word.lower() if word.isascii() else word
-            bare, mark = base[:-1], base[-1:]
-            if mark in _MARKS and bare.isalpha() and bare.lower().isalpha():
-                plain.add(bare)
-                plain.add(mark)
-                made.append((word, bare, mark))
-            elif base != word:
-                plain.add(base)
-                made.append((word, base, ""))
-            elif word:
-                plain.add(word)
-        ask = [w for w in plain if w not in known]
-        found = self.tokenizer.encode_batch_fast(ask, add_special_tokens=False)
-        code = "H" if self.kind is np.uint16 else "I"
-        known.update((w, array(code, e.ids).tobytes()) for w, e in zip(ask, found, strict=True))
-        known.update((w, known[a] + known[b]) for w, a, b in made)
+        at = self.__getitem__
+        return [b"".join(map(at, t.replace("\n", " ").split(" "))) if t else b"" for t in texts]
+
+    def __missing__(self, word: str) -> bytes:
+        base = word.lower()
+        if _LETTERS(base):
+            ids = self[base] if base != word else self._packed(x.id for x in self.model.tokenize(base.translate(self.byte_letters)))
+        elif base[-1] in _MARKS and _LETTERS(base[:-1]):
+            ids = self[word[:-1]] + self[word[-1]]
+        else:
+            ids = self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        if len(self) >= MEMORY_WORDS:
+            self.clear()
+            self[""] = b""
+        if len(word) < 64:
+            self[word] = ids
+        return ids
+
+    def _packed(self, ids) -> bytes:
+        return array(self.code, ids).tobytes()
 
 
 @lru_cache(maxsize=2)

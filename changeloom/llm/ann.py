@@ -140,12 +140,12 @@ def index(df: DataFrame, k: int, scratch: Scratch, id_col: str = "vec_id", vecto
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, vector as doubles, v1, v2: a 128-bit hash of it) of the rows that take part."""
+    """(id, vector as doubles, v1, v2: two hashes of it with different seeds, 128 bits together) of the rows that take part."""
     vector = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     rows = df.select(F.col(id_col).cast("long").alias("id"), vector.alias("vector")).where("id is not null and vector is not null")
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(finite & F.exists("vector", lambda x: x != 0))
-    return rows.withColumns({"v1": F.xxhash64("vector"), "v2": F.xxhash64("vector", F.lit(1))})
+    return rows.withColumns({"v1": F.xxhash64("vector"), "v2": F.xxhash64(F.lit(1), "vector")})
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:

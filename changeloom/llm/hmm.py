@@ -12,12 +12,15 @@ State k emits a known word w with (n_k(w) - DISCOUNT * min(n_k(w), 1)) / n_k, an
 what is taken off goes to all known words by the smoothed unigram
 distribution.  Unknown words are one more type with the unigram's probability
 of it, 1 / (N + V + 1), in every state; known words share the rest.
+A word is known by a 64-bit hash, so two different words of the corpus are taken
+for one with a chance of V * V / 2^65 for V different words.
 Rounds: the first takes each document to be in one state (that of the nearest
 centre of byte histograms, k-means over all training documents); each later one
-is a Baum-Welch round with expected counts, until the likelihood settles, at
-most ROUNDS.  In training, long
-documents are cut into runs of RUN words; scoring is exact over whole texts,
-by products of scaled transfer matrices.
+is a Baum-Welch round with expected counts, at least LEAST, until the
+likelihood settles, at most ROUNDS.  Long documents are walked in runs of RUN words at once: products
+of scaled transfer matrices say with which state probabilities each run begins
+and ends, so the passes over the runs are those over the whole text, in
+training and in scoring.
 """
 
 from __future__ import annotations
@@ -36,14 +39,44 @@ from pyspark.sql import functions as F
 from changeloom.llm.shared import Scratch, byte_column, gathered, parts, tune, word_hashes
 
 STATES, DISCOUNT, RUN, SAMPLE = 4, 0.75, 512, 600
-#: Most steps of k-means and most Baum-Welch rounds; both stop before, once settled.
-STEPS, ROUNDS = 30, 20
+#: Bytes of text in a batch; distinct words (of all batches together) that a bucket adds up.
+BATCH, BUCKET_WORDS = 8 << 20, 1_000_000
+#: Most steps of k-means, fewest and most Baum-Welch rounds; both stop before, once settled.
+STEPS, LEAST, ROUNDS = 30, 5, 20
 #: Baum-Welch stops when a round adds less than this share to the log likelihood.
 SETTLED = 0.0001
 #: The word that ends each document.
 END = np.uint64(0x656E64)
 FOLDS, HELD = 7, 2
-_TOKENS = "batch bigint, docs array<{kind}>, lengths binary, train binary, state binary, words binary, at binary"
+_TOKENS = "batch bigint, docs array<{kind}>, n_words bigint, lengths binary, train binary, state binary, words binary, at binary"
+
+
+def _pack_planes(x: np.ndarray) -> bytes:
+    """Packed with all first bytes of the numbers first, then all second ones and so on, which compresses better."""
+    return _pack(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T)
+
+
+def _unpack_planes(x: bytes, kind) -> np.ndarray:
+    planes = _unpack(x, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _pack_sorted(x: np.ndarray) -> bytes:
+    return _pack_planes(np.diff(x, prepend=np.uint64(0)))
+
+
+def _unpack_sorted(x: bytes) -> np.ndarray:
+    return np.cumsum(_unpack_planes(x, np.uint64), dtype=np.uint64)
+
+
+def _pack_shares(x: np.ndarray) -> bytes:
+    """Shares of states in single precision; the last state's is what is left."""
+    return _pack_planes(x[:, :-1].astype(np.float32))
+
+
+def _unpack_shares(x: bytes) -> np.ndarray:
+    share = _unpack_planes(x, np.float32).reshape(-1, STATES - 1).astype(np.float64)
+    return np.concatenate([share, np.maximum(1 - share.sum(1, keepdims=True), 0)], 1)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -89,7 +122,7 @@ def centres(df: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> np.n
     texts = texts.where(F.col("id").isNull() | (F.crc32(F.col("id").cast("string").cast("binary")) % FOLDS != HELD))
     all_ = scratch.keep(texts.mapInArrow(run, f"id {kind}, h binary"), "histograms")
     key = F.xxhash64("id", "h")
-    rows = all_.where(F.pmod(key, F.lit(max(1, _rows(all_) // (20 * SAMPLE)))) == 0).orderBy(key, "id").limit(SAMPLE).collect()
+    rows = all_.where(F.pmod(key, F.lit(max(1, all_.count() // (20 * SAMPLE)))) == 0).orderBy(key, "id").limit(SAMPLE).collect()
     if not rows:
         scratch.drop(all_)
         return np.eye(STATES, 256)
@@ -112,7 +145,7 @@ def centres(df: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> np.n
 
 
 def _step(histograms: DataFrame, c: np.ndarray) -> np.ndarray:
-    """Means of the histograms by nearest centre; a partition sends STATES x 257 numbers."""
+    """Means of the histograms by nearest centre, summed in each partition and then in 32 groups of partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((STATES, 257))
@@ -121,14 +154,14 @@ def _step(histograms: DataFrame, c: np.ndarray) -> np.ndarray:
             own = np.eye(STATES)[_nearest(x, c)]
             total[:, :256] += own.T @ x
             total[:, 256] += own.sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
-
-    total = sum(np.frombuffer(r.total).reshape(STATES, 257) for r in histograms.select("h").mapInArrow(run, "total binary").collect())
-    return np.where(total[:, 256:] > 0, total[:, :256] / np.maximum(total[:, 256:], 1), c)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 32], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "total"])
 
+    def add(table: pa.Table) -> pa.Table:
+        return pa.table({"total": pa.array([sum(np.frombuffer(x) for x in table["total"].to_pylist()).tobytes()], pa.binary())})
 
-def _rows(df: DataFrame) -> int:
-    return df.count()
+    sums = histograms.select("h").mapInArrow(run, "part int, total binary").groupBy("part").applyInArrow(add, "total binary")
+    total = sum((np.frombuffer(r.total).reshape(STATES, 257) for r in sums.collect()), np.zeros((STATES, 257)))
+    return np.where(total[:, 256:] > 0, total[:, :256] / np.maximum(total[:, 256:], 1), c)
 
 
 def pack_tokens(df: DataFrame, start: np.ndarray, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
@@ -137,7 +170,7 @@ def pack_tokens(df: DataFrame, start: np.ndarray, scratch: Scratch, id_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        for n, batch in enumerate(gathered(batches)):
+        for n, batch in enumerate(gathered(batches, BATCH)):
             data, offsets = byte_column(batch.column(1))
             h, doc, _, _ = word_hashes(data, offsets)
             docs = batch.num_rows
@@ -151,8 +184,8 @@ def pack_tokens(df: DataFrame, start: np.ndarray, scratch: Scratch, id_col: str,
             train = np.array([not held_out(x) for x in batch.column(0).to_pylist()], np.uint8)
             state = ((_histograms(batch.column(1))[:, None] - start[None]) ** 2).sum(2).argmin(1).astype(np.uint8)
             ids = pa.ListArray.from_arrays(pa.array([0, docs], pa.int32()), batch.column(0))
-            blobs = [pa.array([_pack(x)], pa.binary()) for x in (lengths.astype(np.int32), train, state, words, at.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array([first + n]), ids, *blobs], ["batch", "docs", "lengths", "train", "state", "words", "at"])
+            blobs = [pa.array([x], pa.binary()) for x in (_pack(lengths.astype(np.int32)), _pack(train), _pack(state), _pack_sorted(words), _pack_planes(at.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([pa.array([first + n]), ids, pa.array([len(words)]), *blobs], ["batch", "docs", "n_words", "lengths", "train", "state", "words", "at"])
 
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return scratch.keep(texts.mapInArrow(run, _TOKENS.format(kind=kind)), "tokens")
@@ -190,66 +223,121 @@ def emissions(model: Model, count: np.ndarray, share: np.ndarray) -> np.ndarray:
     return np.where(count[:, None] > 0, (1 - unknown) * known, unknown)
 
 
-def expect(e: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posteriors of each token, expected moves and first states."""
-    return _expect(e, lengths, model)[:3]
-
-
-def _expect(e: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """What expect gives and the log likelihood of the runs, by scaled forward and backward passes."""
-    start, size, _, place = _runs(lengths)
-    longest = int(size[0]) if len(size) else 0
-    live = np.searchsorted(-size, -np.arange(longest + 1), "left")
-    forward, scale = np.empty_like(e), np.empty(len(e), e.dtype)
-    move = model.move.astype(e.dtype)
-    begin = np.linalg.matrix_power(model.move, 64)[0].astype(e.dtype)
-    a = None
-    for t in range(longest):
-        at = start[: live[t]] + t
-        a = np.where((place == 0)[:, None], model.first.astype(e.dtype), begin) * e[at] if t == 0 else (a[: live[t]] @ move) * e[at]
-        scale[at] = s = a.sum(1)
-        a = a / s[:, None]
-        forward[at] = a
-    moves, posterior = np.zeros((STATES, STATES)), np.empty_like(e)
-    b = np.ones((len(start), STATES), e.dtype)
-    for t in range(longest - 1, -1, -1):
-        at = start[: live[t]] + t
-        if t < longest - 1 and live[t + 1]:
-            n = live[t + 1]
-            weight = e[at[:n] + 1] * b[:n] / scale[at[:n] + 1][:, None]
-            moves += (forward[at[:n]].T @ weight) * move
-            b[:n] = weight @ move.T
-        posterior[at] = forward[at] * b[: live[t]]
-    posterior /= posterior.sum(1, keepdims=True)
-    firsts = posterior[start[place == 0]].sum(0) if len(start) else np.zeros(STATES)
-    return posterior, moves, firsts, float(np.log(scale, dtype=np.float64).sum())
+class _Walk:
+    """The runs of a batch's documents, walked in step, longest first; token t of all runs that reach it is one slice."""
+
+    def __init__(self, lengths: np.ndarray):
+        self.start, self.size, self.doc, self.place = _runs(lengths)
+        runs = len(self.start)
+        longest = int(self.size[0]) if runs else 0
+        self.live = np.searchsorted(-self.size, -np.arange(longest + 1), "left")
+        self.cuts = np.concatenate([[0], np.cumsum(self.live[:longest])]).astype(np.int64)
+        run = np.repeat(np.arange(runs), self.size)
+        step = np.arange(len(run)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        #: Where each token of the walk is in the documents.
+        self.order = np.empty(len(run), np.int64)
+        self.order[self.cuts[step] + run] = self.start[run] + step
+
+    def at(self, t: int) -> slice:
+        return slice(self.cuts[t], self.cuts[t + 1])
+
+    def carry(self, e: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+        """(STATES, runs): the forward vector before each run and the backward vector behind it."""
+        enter, leave = np.tile(model.first[:, None], len(self.start)), np.ones((STATES, len(self.start)))
+        several = np.flatnonzero(np.bincount(self.doc, minlength=1)[self.doc] > 1)
+        if not len(several):
+            return enter, leave
+        place = self.place[several]
+        m = np.broadcast_to(np.eye(STATES), (len(several), STATES, STATES)).copy()
+        for t in range(int(self.size[several[0]])):
+            n = np.searchsorted(several, self.live[t])
+            now = m[:n] if t == 0 else m[:n] @ model.move
+            if t == 0:
+                now = np.where((place > 0)[:n, None, None], now @ model.move, now)  # the first state comes from its own distribution
+            now = now * e[:, self.cuts[t] + several[:n]].T[:, None, :]
+            m[:n] = now / now.max((1, 2), keepdims=True)
+        by = np.lexsort((place, self.doc[several]))
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        last = int(place.max())
+        for p in range(last):
+            some = np.flatnonzero(place == p)
+            some = some[rank[some] + 1 < len(by)]
+            behind = by[rank[some] + 1]
+            ok = place[behind] == p + 1
+            v = np.einsum("kn,nkj->jn", enter[:, several[some[ok]]], m[some[ok]])
+            enter[:, several[behind[ok]]] = v / v.sum(0)
+        for p in range(last, 0, -1):
+            some = np.flatnonzero(place == p)
+            before = by[rank[some] - 1]
+            v = np.einsum("nkj,jn->kn", m[some], leave[:, several[some]])
+            leave[:, several[before]] = v / v.sum(0)
+        return enter, leave
+
+    def forward(self, e: np.ndarray, enter: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+        """(STATES, tokens) scaled forward vectors and each token's scale, in the walk's order."""
+        out, scale = np.empty_like(e), np.empty(e.shape[1], e.dtype)
+        move = np.ascontiguousarray(model.move.T.astype(e.dtype))
+        a = enter.astype(e.dtype)
+        if len(self.live) > 1:
+            a = np.where(self.place == 0, a, move @ a)
+        for t in range(len(self.live) - 1):
+            at = self.at(t)
+            a = (a if t == 0 else move @ a[:, : self.live[t]]) * e[:, at]
+            scale[at] = s = a.sum(0)
+            a /= s
+            out[:, at] = a
+        return out, scale
+
+
+def expect(e: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(STATES, tokens) posteriors, expected moves, expected first states and the log likelihood of whole documents.
+
+    e: (STATES, tokens) emission probabilities.
+    """
+    walk = _Walk(lengths)
+    posterior, moves, firsts, log = _expect(walk, e[:, walk.order], model)
+    out = np.empty_like(posterior)
+    out[:, walk.order] = posterior
+    return out, moves, firsts, log
+
+
+def _expect(walk: _Walk, e: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The same in the walk's order."""
+    enter, leave = walk.carry(e, model)
+    forward, scale = walk.forward(e, enter, model)
+    move, moves = np.ascontiguousarray(model.move.astype(e.dtype)), np.zeros((STATES, STATES))
+    posterior, b = np.empty_like(e), leave.astype(e.dtype)
+    for t in range(len(walk.live) - 2, -1, -1):
+        at, n = walk.at(t), walk.live[t + 1]
+        if n:
+            ahead = walk.at(t + 1)
+            weight = e[:, ahead] * b[:, :n] / scale[ahead]
+            own = forward[:, at.start : at.start + n]
+            # scaled so that a run's moves at one step add up to one, whatever the scale of b
+            both = move @ weight
+            weight /= (own * both).sum(0)
+            moves += (own @ weight.T) * move
+            b[:, :n] = both
+        p = forward[:, at] * b[:, : walk.live[t]]
+        posterior[:, at] = p / p.sum(0)
+    first = walk.at(0) if len(walk.start) else slice(0, 0)
+    heads = posterior[:, first]
+    later = np.flatnonzero(walk.place > 0)
+    if len(later):  # moves from a run's last token to the next run's first
+        weight = e[:, first][:, later] * b[:, later]
+        own = enter[:, later]
+        moves += (own @ (weight / (own * (move @ weight)).sum(0)).T) * move
+    return posterior, moves, heads[:, walk.place == 0].sum(1), float(np.log(scale, dtype=np.float64).sum())
 
 
 def likelihood(e: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarray:
-    """log10 of each document's probability: transfer matrices of its runs, multiplied in order."""
-    start, size, doc, place = _runs(lengths)
-    longest = int(size[0]) if len(size) else 0
-    live = np.searchsorted(-size, -np.arange(longest + 1), "left")
-    m = np.broadcast_to(np.eye(STATES), (len(start), STATES, STATES)).copy()
-    logs = np.zeros(len(start))
-    for t in range(longest):
-        at, n = start[: live[t]] + t, live[t]
-        now = m[:n] @ model.move
-        if t == 0:
-            now[place == 0] = m[:n][place == 0]  # the first state comes from its own distribution
-        now *= e[at][:, None, :]
-        top = now.max((1, 2))
-        m[:n] = now / top[:, None, None]
-        logs[:n] += np.log10(top)
-    v, out = np.tile(model.first, (len(lengths), 1)), np.zeros(len(lengths))
-    for p in range(int(place.max(initial=-1)) + 1):
-        some = np.flatnonzero(place == p)
-        d = doc[some]
-        w = np.einsum("nk,nkj->nj", v[d], m[some])
-        top = w.sum(1)
-        v[d] = w / top[:, None]
-        out[d] += np.log10(top) + logs[some]
-    return out
+    """log10 of each document's probability, by the scaled forward recursion over the whole document; e: (STATES, tokens)."""
+    walk = _Walk(lengths)
+    e = e[:, walk.order]
+    _, scale = walk.forward(e, walk.carry(e, model)[0], model)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    return np.bincount(doc[walk.order], np.log10(scale), len(lengths))
 
 
 _SENT = "bucket int, batch bigint, words binary, count binary, share binary, stats array<double>"
@@ -258,11 +346,11 @@ _BACK = "batch bigint, bucket int, count binary, share binary, stats array<doubl
 
 def _send(batch: int, words: np.ndarray, count: np.ndarray, expected: np.ndarray, stats: list[float], buckets: int) -> Iterator[pa.RecordBatch]:
     """A record for each bucket of the words; words are sorted, so a bucket is a slice."""
-    share = np.rint(expected / np.maximum(expected.sum(1, keepdims=True), 1e-12) * 65535).astype(np.uint16)
-    cuts = np.searchsorted(words, [np.uint64(b * 2**64 // buckets) for b in range(buckets)])
+    share = expected / np.maximum(expected.sum(1, keepdims=True), 1e-300)
+    cuts = np.searchsorted(words, np.array([b * 2**64 // buckets for b in range(buckets)], np.uint64))
     cuts = np.append(cuts, len(words))
     some = np.flatnonzero(np.diff(cuts) > 0)
-    rows = [(int(b), batch, _pack(words[cuts[b] : cuts[b + 1]]), _pack(count[cuts[b] : cuts[b + 1]].astype(np.uint32)), _pack(share[cuts[b] : cuts[b + 1]]), None) for b in some]
+    rows = [(int(b), batch, _pack_sorted(words[cuts[b] : cuts[b + 1]]), _pack(count[cuts[b] : cuts[b + 1]].astype(np.uint32)), _pack_shares(share[cuts[b] : cuts[b + 1]]), None) for b in some]
     rows.append((-1, batch, b"", b"", b"", stats))
     kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64())]
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "batch", "words", "count", "share", "stats"])
@@ -271,20 +359,19 @@ def _send(batch: int, words: np.ndarray, count: np.ndarray, expected: np.ndarray
 def _merge(table: pa.Table) -> pa.Table:
     """One bucket: each word's totals, back to each batch in the order in which it asked."""
     bucket = table["bucket"][0].as_py()
-    asked = [_unpack(x, np.uint64) for x in table["words"].to_pylist()]
+    asked = [_unpack_sorted(x) for x in table["words"].to_pylist()]
     sizes = [len(x) for x in asked]
     words, at = np.unique(np.concatenate(asked), return_inverse=True)
     count = np.concatenate([_unpack(x, np.uint32) for x in table["count"].to_pylist()])
-    share = np.concatenate([_unpack(x, np.uint16) for x in table["share"].to_pylist()]).reshape(-1, STATES).astype(np.float64)
-    share /= np.maximum(share.sum(1, keepdims=True), 1)
-    total = np.bincount(at, count, len(words))
+    share = np.concatenate([_unpack_shares(x) for x in table["share"].to_pylist()])
+    total = np.bincount(at, count, len(words))  # doubles hold whole numbers up to 2^53
     by_state = np.stack([np.bincount(at, count * share[:, k], len(words)) for k in range(STATES)], 1)
-    fraction = np.rint(by_state / np.maximum(by_state.sum(1, keepdims=True), 1e-12) * 65535).astype(np.uint16)
-    exact = total[:, None] * fraction / np.maximum(fraction.sum(1, keepdims=True, dtype=np.int64), 1)
+    fraction = by_state / np.maximum(by_state.sum(1, keepdims=True), 1e-300)
+    exact = total[:, None] * fraction
     stats = [float(total.sum()), float((total > 0).sum()), *exact.sum(0).tolist(), *np.minimum(exact, 1).sum(0).tolist()]
     ends = np.cumsum(sizes)
-    total = total.astype(np.uint32)
-    rows = [(b, bucket, _pack(total[at[e - n : e]]), _pack(fraction[at[e - n : e]]), None) for b, e, n in zip(table["batch"].to_pylist(), ends, sizes, strict=True)]
+    total = total.astype(np.uint64)
+    rows = [(b, bucket, _pack_planes(total[at[e - n : e]]), _pack_shares(fraction[at[e - n : e]]), None) for b, e, n in zip(table["batch"].to_pylist(), ends, sizes, strict=True)]
     rows.append((-1, bucket, b"", b"", stats))
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.float64())]
     return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["batch", "bucket", "count", "share", "stats"])
@@ -297,9 +384,8 @@ def _sums(df: DataFrame, n: int) -> np.ndarray:
 
 def _answers(back: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     back = back.sort_by("bucket")
-    count = np.concatenate([_unpack(x, np.uint32) for x in back["count"].to_pylist()]).astype(np.float64)
-    share = np.concatenate([_unpack(x, np.uint16) for x in back["share"].to_pylist()]).reshape(-1, STATES).astype(np.float64)
-    return count, share / np.maximum(share.sum(1, keepdims=True), 1)
+    count = np.concatenate([_unpack_planes(x, np.uint64) for x in back["count"].to_pylist()]).astype(np.float64)
+    return count, np.concatenate([_unpack_shares(x) for x in back["share"].to_pylist()])
 
 
 def score(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,14 +399,14 @@ def score(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
     spark = df.sparkSession
     tune(spark)
     kind = df.schema[id_col].dataType.simpleString()
-    buckets = max(parts(spark), 1)
     tokens = pack_tokens(df, centres(df, scratch, id_col, text_col), scratch, id_col, text_col)
+    buckets = max(parts(spark), -(-(tokens.agg(F.sum("n_words")).first()[0] or 0) // BUCKET_WORDS))
 
     def first_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 lengths, train, state = _unpack(row["lengths"], np.int32), _unpack(row["train"], np.uint8), _unpack(row["state"], np.uint8)
-                words, at = _unpack(row["words"], np.uint64), _unpack(row["at"], np.int32)
+                words, at = _unpack_sorted(row["words"]), _unpack_planes(row["at"], np.int32)
                 use, own = np.repeat(train, lengths).astype(np.float64), np.repeat(state, lengths)
                 expected = np.stack([np.bincount(at, use * (own == k), len(words)) for k in range(STATES)], 1)
                 moves = np.diag([float(((lengths - 1) * train * (state == k)).sum()) for k in range(STATES)])
@@ -333,8 +419,9 @@ def score(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
         first = a[STATES * STATES : -1] + 1
         return Model(move / move.sum(1, keepdims=True), first / first.sum(), b[2 : 2 + STATES], b[2 + STATES :], int(b[0]), int(b[1])), float(a[-1])
 
-    def exchange(sent: DataFrame, name: str) -> tuple[DataFrame, Model, float]:
+    def exchange(sent: DataFrame, name: str, *old: DataFrame) -> tuple[DataFrame, Model, float]:
         sent = scratch.keep(sent, f"sent-{name}")
+        scratch.drop(*old)  # with the shuffles that read it, before the next ones are written
         back = scratch.keep(sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_merge, _BACK), f"back-{name}")
         model, log = model_of(sent, back)
         scratch.drop(sent)
@@ -349,12 +436,13 @@ def score(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
             out = []
             for row in own.to_pylist():
                 lengths, train = _unpack(row["lengths"], np.int32).astype(np.int64), _unpack(row["train"], np.uint8).astype(bool)
-                words, at = _unpack(row["words"], np.uint64), _unpack(row["at"], np.int32)
+                words, at = _unpack_sorted(row["words"]), _unpack_planes(row["at"], np.int32)
                 count, share = _answers(back)
-                at = at[np.repeat(train, lengths)]
-                e = emissions(model, count, share).astype(np.float32)[at]
-                posterior, moves, firsts, log = _expect(e, lengths[train], model)
-                expected = np.stack([np.bincount(at, posterior[:, k], len(words)) for k in range(STATES)], 1)
+                walk = _Walk(lengths[train])
+                at = at[np.repeat(train, lengths)][walk.order]
+                e = np.ascontiguousarray(emissions(model, count, share).T.astype(np.float32))[:, at]
+                posterior, moves, firsts, log = _expect(walk, e, model)
+                expected = np.stack([np.bincount(at, posterior[k], len(words)) for k in range(STATES)], 1)
                 out += _send(row["batch"], words, np.bincount(at, minlength=len(words)), expected, [*moves.ravel().tolist(), *np.asarray(firsts, float).tolist(), log], buckets)
             return pa.Table.from_batches(out)
 
@@ -363,10 +451,8 @@ def score(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
     back, model, _ = exchange(tokens.mapInArrow(first_counts, _SENT), "first")
     last = -np.inf
     for n in range(ROUNDS):
-        again, new, log = exchange(with_answers(expected_counts(model), back, _SENT), f"round{n}")
-        scratch.drop(back)
-        back, model = again, new
-        if log - last <= SETTLED * abs(log):
+        back, model, log = exchange(with_answers(expected_counts(model), back, _SENT), f"round{n}", back)
+        if n + 1 >= LEAST and log - last <= SETTLED * abs(log):
             break
         last = log
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -376,11 +462,11 @@ def score(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
         found = []
         for row in own.to_pylist():
             lengths, train = _unpack(row["lengths"], np.int32).astype(np.int64), _unpack(row["train"], np.uint8)
-            at, (count, share) = _unpack(row["at"], np.int32), _answers(back_)
+            at, (count, share) = _unpack_planes(row["at"], np.int32), _answers(back_)
             doc, n = np.repeat(np.arange(len(lengths)), lengths), len(lengths)
             base = np.bincount(doc, np.log10((count + 1) / (final.tokens + final.words + 1))[at], n)
             known = np.bincount(doc, count[at] > 0, n).astype(np.int64)
-            value = likelihood(emissions(final, count, share)[at], lengths, final)
+            value = likelihood(np.ascontiguousarray(emissions(final, count, share).T)[:, at], lengths, final)
             found.append((row["docs"], (train == 0), lengths, known, np.full(n, final.tokens, np.int64), base, value))
         docs = [d for f in found for d in f[0]]
         rest = [np.concatenate([f[i] for f in found]) for i in range(1, 7)] if found else [np.zeros(0, k) for k in (bool, np.int64, np.int64, np.int64, float, float)]

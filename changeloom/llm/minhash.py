@@ -17,8 +17,9 @@ Links between different texts are all found, without emitting a group's pairs:
    block, where all pairs of different groups are counted exactly.  What comes
    out of a block is a spanning forest, never its pairs.
 
-Tests compute both full sets and compare 100 * common >= 75 * union exactly.
-A pair at the bound shares no band with a chance of 3e-7 (40 bands of 4).
+Tests compare full sets by 128-bit digests of their shingles (two independent
+64-bit hashes, of which only the first makes the signature) and take
+100 * common >= 75 * union exactly.  A pair at the bound shares no band with a chance of 3e-7 (40 bands of 4).
 """
 
 from __future__ import annotations
@@ -30,43 +31,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.shared import Scratch, byte_column, mix, parts, release, tune, word_hashes
+from changeloom.llm.shared import Scratch, arrow_type, byte_column, lowered, mix, parts, release, span_hashes, tune, word_places
 
 WORDS, BANDS, ROWS = 5, 40, 4
 SLOTS = BANDS * ROWS
 #: Signature agreement below which two documents of one bucket are not tested: 6 standard deviations under the bound.
 LIKELY = 0.55
-#: Documents compared with one leader in one sorted run; members of one block.
-RUN, BLOCK = 256, 2048
+#: Documents compared with one leader in one sorted run; signatures of one block; shingles of one block.
+RUN, BLOCK, SHINGLES = 256, 2048, 500_000
 
-_FACTORS = np.random.default_rng(7).integers(1, 1 << 63, WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(7).integers(1, 1 << 63, (2, WORDS + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _shingles(h: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """A hash of every five words in a row; each word's hash is mixed by its place before they are added."""
+    rolled = np.zeros(max(0, len(h) - WORDS + 1), np.uint64)
+    for k in range(WORDS):
+        rolled += mix(h[k : len(h) - WORDS + 1 + k] * factors[k] + np.uint64(k))
+    return mix(rolled)
+
+
+def _whole(h: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    x = np.array([len(h)], np.uint64)
+    for k in range(len(h)):
+        x = mix(x * factors[WORDS] + h[k : k + 1])
+    return x
+
+
+def _distinct(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """(2, n): the different pairs, sorted."""
+    by = np.argsort(one, kind="stable")
+    pair = np.stack([one[by], two[by]])
+    same = pair[0, 1:] == pair[0, :-1]
+    if (same & (pair[1, 1:] != pair[1, :-1])).any():  # different shingles of one first half
+        by = np.lexsort((two, one))
+        pair = np.stack([one[by], two[by]])
+        same = (pair[:, 1:] == pair[:, :-1]).all(0)
+    return pair[:, np.append(np.ones(min(1, len(by)), bool), ~same)]
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
-    """Every text's sorted distinct shingle hashes; fewer words than five are one shingle, no words none."""
+    """Every text's set as a (2, n) array of 128-bit digests, sorted; fewer words than five are one shingle, no words none."""
     data, offsets = byte_column(column)
-    h, doc, _, _ = word_hashes(data, offsets)
     n = len(offsets) - 1
+    doc, starts, stops = word_places(data, offsets) if len(data) else (np.zeros(0, np.int64),) * 3
+    low = lowered(data)
+    words = [span_hashes(low, starts, stops, seed) for seed in (0, 1)]
     counts = np.bincount(doc, minlength=n)
-    stops = np.cumsum(counts)
-    rolled = np.zeros(max(0, len(h) - WORDS + 1), np.uint64)
-    for k in range(WORDS):
-        rolled += h[k : len(h) - WORDS + 1 + k] * _FACTORS[k]
-    rolled = mix(rolled)
+    rolled = [_shingles(h, f) for h, f in zip(words, _FACTORS, strict=True)]
     out = []
-    for stop, count in zip(stops.tolist(), counts.tolist(), strict=True):
+    for stop, count in zip(np.cumsum(counts).tolist(), counts.tolist(), strict=True):
         if count >= WORDS:
-            out.append(np.unique(rolled[stop - count : stop - WORDS + 1]))
+            out.append(_distinct(*(r[stop - count : stop - WORDS + 1] for r in rolled)))
         elif count:
-            x = np.array([count], np.uint64)
-            for k in range(stop - count, stop):
-                x = x * _FACTORS[WORDS] + h[k : k + 1]
-            out.append(mix(x))
+            out.append(np.stack([_whole(h[stop - count : stop], f) for h, f in zip(words, _FACTORS, strict=True)]))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append(np.zeros((2, 0), np.uint64))
     return out
 
 
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many digests two sets share."""
+    if not a.shape[1] or not b.shape[1]:
+        return 0
+    place = np.minimum(np.searchsorted(a[0], b[0]), a.shape[1] - 1)
+    first = a[0][place] == b[0]
+    both = first & (a[1][place] == b[1])
+    if (first & ~both).any():  # different shingles of one first half
+        return len(set(zip(*a.tolist(), strict=True)) & set(zip(*b.tolist(), strict=True)))
+    return int(both.sum())
+
+
 def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     """SuperMinHash of each set, as level << 56 | fraction; empty sets stay at the maximum."""
     none = np.uint64(2**64 - 1)
@@ -101,9 +136,9 @@ def sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column(1))
-            sig = signatures(sets)
-            n = np.array([len(s) for s in sets], np.int64)
-            digest = np.array([[int(s.sum(dtype=np.uint64)), int(mix(s ^ np.uint64(0xABCDEF)).sum(dtype=np.uint64))] for s in sets], np.uint64).reshape(-1, 2)
+            sig = signatures([s[0] for s in sets])
+            n = np.array([s.shape[1] for s in sets], np.int64)
+            digest = np.array([s.sum(1, dtype=np.uint64) for s in sets], np.uint64).reshape(-1, 2)
             bands = np.zeros((len(sets), BANDS), np.uint64)
             for r in range(ROWS):
                 bands = mix(bands * np.uint64(31) + sig[:, r::ROWS] + np.arange(BANDS, dtype=np.uint64))
@@ -118,6 +153,10 @@ def sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.mapInArrow(run, f"id {kind}, n bigint, s1 bigint, s2 bigint, sig binary, bands array<bigint>")
 
 
+def _pairs(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], kind), pa.array([x[1] for x in found], kind)], ["a", "b"])
+
+
 def verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that are links, by the full sets of their texts.
 
@@ -125,7 +164,7 @@ def verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     most about RUN documents, with a's own text first in each run, so a leader
     of very many candidates is spread and a task holds one leader's set only.
     """
-    kind = pairs.schema["a"].dataType.simpleString()
+    kind, arrow = pairs.schema["a"].dataType.simpleString(), arrow_type(pairs, "a")
     pairs = scratch.keep(pairs, "pairs")
     runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
     members = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("run"), F.col("b").alias("id"), F.lit(1).alias("role"))
@@ -146,12 +185,11 @@ def verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
                     leader.append(own)
                     continue
                 for one in leader:
-                    place = np.searchsorted(one, own)
-                    common = int((one[np.minimum(place, len(one) - 1)] == own).sum()) if len(one) else 0
-                    if common and 100 * common >= 75 * (len(one) + len(own) - common):
+                    n = common(one, own)
+                    if n and 100 * n >= 75 * (one.shape[1] + own.shape[1] - n):
                         found.append((key[0], name))
                         break
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], batch.schema.field(0).type), pa.array([x[1] for x in found], batch.schema.field(3).type)], ["a", "b"])
+            yield _pairs(found, arrow)
 
     return scratch.keep(rows.mapInArrow(run, f"a {kind}, b {kind}"), "links")
 
@@ -162,7 +200,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     Union-find inside each partition shrinks the links to a forest; large-star
     and small-star steps join the forests until nothing changes.
     """
-    kind = links.schema["a"].dataType.simpleString()
+    kind, arrow = links.schema["a"].dataType.simpleString(), arrow_type(links, "a")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         up: dict = {}
@@ -181,8 +219,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         ids = list(up)
         for at in range(0, len(ids), 50_000):
             some = ids[at : at + 50_000]
-            kind_ = pa.int64() if kind == "bigint" else None
-            yield pa.RecordBatch.from_arrays([pa.array(some, kind_), pa.array([find(x) for x in some], kind_)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, arrow), pa.array([find(x) for x in some], arrow)], ["u", "v"])
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
@@ -222,6 +259,7 @@ class _Forest:
 def _between(buckets: DataFrame, sigs: DataFrame, kind: str) -> DataFrame:
     """Likely links between different groups of one bucket, as a forest a block: (key, id, root) and (id, sig) to (a, b)."""
     sizes = buckets.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    arrow = arrow_type(buckets, "id")
     rows = buckets.join(sizes, "key").join(sigs, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "sig")
@@ -248,9 +286,7 @@ def _between(buckets: DataFrame, sigs: DataFrame, kind: str) -> DataFrame:
         group: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            found = list(set(compare(group))) if len({g[5] for g in group}) > 1 else []
-            kind_ = pa.int64() if kind == "bigint" else None
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], kind_), pa.array([x[1] for x in found], kind_)], ["a", "b"])
+            return _pairs(list(set(compare(group))) if len({g[5] for g in group}) > 1 else [], arrow)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -265,26 +301,29 @@ def _between(buckets: DataFrame, sigs: DataFrame, kind: str) -> DataFrame:
     return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def _inside(clusters: DataFrame, roots: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """All links between different groups of one cluster, as a forest a block: (id, root of the cluster) to (a, b)."""
-    kind = clusters.schema["id"].dataType.simpleString()
+def _inside(clusters: DataFrame, roots: DataFrame, texts: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """All links between different groups of one cluster, as a forest a block: (id, root of the cluster) to (a, b).
+
+    sizes: (id, n).  A block holds about SHINGLES shingles, or one document.
+    """
+    kind, arrow = clusters.schema["id"].dataType.simpleString(), arrow_type(clusters, "id")
     heads = clusters.select(F.col("root").alias("id"), "root").distinct()
     members = clusters.unionByName(heads).withColumnRenamed("root", "cluster")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(sizes, "cluster").join(roots.withColumnRenamed("root", "grp"), "id", "left").withColumn("grp", F.coalesce("grp", "id"))
+    blocks = members.join(sizes, "id").groupBy("cluster").agg(F.ceil(F.sum("n") / SHINGLES).cast("int").alias("blocks"))
+    members = members.join(blocks, "cluster").join(roots.withColumnRenamed("root", "grp"), "id", "left").withColumn("grp", F.coalesce("grp", "id"))
     rows = texts.join(members.hint("merge"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "grp", "text")
     rows = rows.repartition(parts(texts.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "own", "id")
 
     def count(key: tuple, own: list, ids: list, groups: list, sets: list[np.ndarray]) -> list[tuple]:
-        sizes = np.array([len(x) for x in sets])
+        sizes = np.array([x.shape[1] for x in sets])
         owner = np.repeat(np.arange(len(sets)), sizes)
-        element = np.concatenate(sets)
-        by = np.argsort(element, kind="stable")
-        owner, element = owner[by], element[by]
-        first = np.flatnonzero(np.append(True, element[1:] != element[:-1]))
-        length = np.diff(np.append(first, len(element)))
+        element = np.concatenate(sets, 1)
+        by = np.lexsort((element[1], element[0]))
+        owner, element = owner[by], element[:, by]
+        first = np.flatnonzero(np.append(True, (element[:, 1:] != element[:, :-1]).any(0)))
+        length = np.diff(np.append(first, len(by)))
         names = np.repeat(np.arange(len(first)), length)
         place = np.empty(len(by), np.int64)
         place[by] = names  # each element's posting list
@@ -303,11 +342,9 @@ def _inside(clusters: DataFrame, roots: DataFrame, texts: DataFrame, scratch: Sc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, ([], [], [], [])
-        kind_ = pa.int64() if kind == "bigint" else None
 
         def flush() -> pa.RecordBatch:
-            found = count(at, *held) if len(set(held[2])) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], kind_), pa.array([x[1] for x in found], kind_)], ["a", "b"])
+            return _pairs(count(at, *held) if len(set(held[2])) > 1 else [], arrow)
 
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
@@ -354,7 +391,7 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     likely = scratch.keep(_between(buckets, classes.select(F.col("rep").alias("id"), "sig"), kind), "likely")
     release(df.sparkSession)
     if not likely.isEmpty():
-        links = links.unionByName(_inside(components(likely, scratch), roots, texts, scratch))
+        links = links.unionByName(_inside(components(likely, scratch), roots, texts, usable.select("id", "n"), scratch))
         release(df.sparkSession)
     roots = components(links.unionByName(copies), scratch)
     out = all_.select("id", "n").join(roots, "id", "left")

@@ -8,7 +8,9 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows and bytes of one Arrow batch; long texts make 10,000-row batches too large.
 BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
@@ -16,9 +18,11 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset (tests) a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where unset and all run in one process (tests) a new one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="changeloom-"))
         path = _OWN[0]
@@ -26,11 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows and bytes, so a batch of long texts fits in a Python worker."""
+    """Bound Arrow batches by rows and bytes, so a batch of long texts fits in a Python worker.
+
+    Spark reads these settings when a plan runs, after the operator has returned, so they stay set in the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def arrow_type(df: DataFrame, name: str) -> pa.DataType:
+    """The Arrow type of a column, as Spark expects it back from Python."""
+    return to_arrow_type(df.schema[name].dataType)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """The name, with underscores behind until no column is called so (in any case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -107,22 +127,14 @@ def byte_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-_SEED = np.random.default_rng(20240229)
-_LETTER = _SEED.integers(1, 1 << 64, 256, dtype=np.uint64)
-_LETTER[65:91] = _LETTER[97:123]  # A-Z count as a-z
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        factors = np.full((2, size), 1, np.uint64)
-        factors[0, 1:], factors[1, 1:] = _BASE, pow(_BASE, -1, 2**64)
-        _POWERS[:] = np.cumprod(factors, axis=1)
-    return _POWERS[0][:n], _POWERS[1]
+#: The first k bytes of eight, as a little-endian mask.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+#: Words longer than so many bytes are hashed one by one.
+_LONG = 256
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -132,14 +144,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(64-bit hash, document, start, stop) of every word [^\\x20\\x09-\\x0D]+, A-Z lower-cased; words end with their text."""
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z."""
+    return _LOWER[data]
+
+
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, stop) of every word [^\\x20\\x09-\\x0D]+; words end with their text."""
     n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
-    up, down = _powers(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LETTER[data] * up, out=total[1:])
     inside = ~_BLANK[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -148,6 +160,34 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     closes = inside.copy()
     closes[:-1] &= ~inside[1:] | edge[1:-1]
     starts, stops = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    doc = np.searchsorted(offsets, starts, "right") - 1
-    h = (total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64)
-    return mix(h), doc, starts, stops
+    return np.searchsorted(offsets, starts, "right") - 1, starts, stops
+
+
+def span_hashes(low: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each range of bytes: eight bytes at a time, each step multiplied and xor-shifted.
+
+    No step is a polynomial over the bytes, so no pattern of letters collides
+    by its form.  Long ranges are hashed by xxh3.
+    """
+    size = stops - starts
+    h = mix(size.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) % 2**64))
+    padded = np.concatenate([low, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(low) + 1, "<u8", padded, strides=(1,))
+    some = np.flatnonzero(size <= _LONG)
+    at = 0
+    while len(some):
+        left = np.minimum(size[some] - at, 8)
+        h[some] = mix((h[some] ^ (eight[starts[some] + at] & _FIRST[left])) * np.uint64(0x9FB21C651E98DF25) + np.uint64(at + 1))
+        at += 8
+        some = some[size[some] > at]
+    for k in np.flatnonzero(size > _LONG).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(low[starts[k] : stops[k]].tobytes(), seed + 1)
+    return h
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hash, document, start, stop) of every word, A-Z lower-cased; another seed gives an independent hash."""
+    if not len(data):
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+    doc, starts, stops = word_places(data, offsets)
+    return span_hashes(_LOWER[data], starts, stops, seed), doc, starts, stops

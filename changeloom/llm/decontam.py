@@ -3,10 +3,13 @@
 A document leaks an item if some part of it is within ``RATE`` edits a byte of
 the item (both with A-Z lower-cased and white space collapsed).
 
-1. Windows.  An item's long words, its pairs of words of some length and its
-   triples of words are looked up in every document.  Each hit says where the
-   item would begin; a window as long as the item begins there.  A place that
-   a single short hit proposes is left out.
+1. Windows.  An item with a limit of k edits is cut into k + 1 pieces of bytes;
+   k edits leave at least one of them as it is.  Every place of every text is
+   looked up among the pieces, whatever the script and wherever words end.  A
+   hit says where the item would begin, and a window as long as the item begins
+   there.  Where SURE of the ways in which k edits fall on the pieces leave
+   several untouched, as many different ones near each other are asked for;
+   short items need one.
 2. Embedding.  CGK walks read window and item: at each step the current byte
    is put out and a random bit, drawn for this step and byte, says whether to
    move on.  Equal stretches after an edit fall into step again, so a small
@@ -14,29 +17,38 @@ the item (both with A-Z lower-cased and white space collapsed).
 3. Bit sampling.  Each of WALKS walks samples BITS steps of the embedding in
    which the item's own walk still reads its bytes (behind them it puts out
    zeros, in which everything agrees).  A window that agrees with its item in
-   all places of one walk goes on; exact passages always do.  Measured on the
-   items of sf0.1: 0.31 of windows at places of other texts go on, and all of
-   727 proposed leaks with edits all over at the bound.
+   all places of one walk goes on; exact passages always do.  Steps are drawn
+   from a walk's first HEAD, where it has fallen out of step least.
 4. Verification.  The exact smallest edit distance between the item and any
-   part of the window's surroundings, by bit-parallel dynamic programming.
+   part of the window's surroundings, by bit-parallel dynamic programming:
+   items of up to TOGETHER bytes in step over all their windows, longer ones alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.shared import byte_column, gathered, mix, tune, word_hashes
+from changeloom.llm.shared import arrow_type, byte_column, gathered, tune
 
-RATE, WALKS, BITS = 0.15, 192, 3
+RATE, WALKS, BITS, HEAD = 0.15, 192, 3, 256
+#: Chance with which as many edits as the limit allows, all over an item, leave as many pieces as are asked for.
+SURE = 0.95
+#: Steps after which a walk's random bits begin again.
+PERIOD = 256
 #: Bytes of items that one pass over the documents holds; more items take more passes.
 ITEM_BYTES = 4 << 20
-_SHORT = {1: 9, 2: 10, 3: 0}
-_GRAM = np.uint64(0x9E3779B97F4A7C15)
+#: Places that are looked up at once, and bytes of windows that are embedded at once.
+PLACES, WINDOW_BYTES = 1 << 20, 8 << 20
+#: Bytes of an item up to which it is verified in step with others.
+TOGETHER = 512
+_MAP_BITS = 22
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -54,19 +66,33 @@ def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return low[keep], np.searchsorted(keep, offsets), keep
 
 
-def _grams(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first word) of all runs of n words in one text."""
-    if len(h) < n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    g = np.full(len(h) - n + 1, n, np.uint64)
-    for k in range(n):
-        g = mix(g * _GRAM + h[k : len(h) - n + 1 + k])
-    inside = np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :])
-    return g[inside], inside
+def _eight(low: np.ndarray) -> np.ndarray:
+    """At every place the next eight bytes as one number, without a copy for each place."""
+    padded = np.concatenate([low, np.zeros(8, np.uint8)])
+    return np.ndarray(len(low) + 1, "<u8", padded, strides=(1,))
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _MAP_BITS)).astype(np.int64)
+
+
+@lru_cache(maxsize=4096)
+def needed(limit: int) -> int:
+    """The most pieces, of limit + 1, that limit edits at random leave untouched with a chance of SURE; at least 1."""
+    pieces = limit + 1
+    left = np.zeros(pieces + 1)  # left[u]: chance of u untouched pieces after the edits so far
+    left[pieces] = 1
+    u = np.arange(pieces + 1)
+    for _ in range(limit):
+        hit = left * u / pieces
+        left = left - hit
+        left[:-1] += hit[1:]
+    at_least = np.cumsum(left[::-1])[::-1]
+    return max(1, int(np.flatnonzero(at_least >= SURE).max(initial=0)))
 
 
 class Items:
-    """The items of one pass: their normalised bytes, seeds and sampled embeddings."""
+    """The items of one pass: their normalised bytes, pieces and sampled embeddings."""
 
     def __init__(self, ids: list, texts: list[str]):
         data, offsets = byte_column(pa.array(texts, pa.string()))
@@ -77,54 +103,65 @@ class Items:
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.limits = np.floor(self.sizes * RATE).astype(np.int64)
-        h, doc, s, e = word_hashes(self.low, np.concatenate([self.starts, [len(self.low)]]))
-        found: list[list[np.ndarray]] = [[], [], [], []]
-        strong = np.zeros(len(ids), np.int64)
-        for sparse in (False, True):  # items with few seeds take all their runs of words
-            for n in (1, 2, 3):
-                g, first = _grams(h, doc, n)
-                width = e[first + n - 1] - s[first] if len(first) else first
-                use = strong[doc[first]] < 3 if sparse else width >= _SHORT[n]
-                for out, x in zip(found, (g, doc[first], s[first] - self.starts[doc[first]], np.full(len(first), 9 if sparse or n == 3 else 1)), strict=True):
-                    out.append(x[use])
-            if not sparse:
-                strong = np.bincount(np.concatenate(found[1]), minlength=len(ids))
-        g, item, at, weight = (np.concatenate(x) for x in found)
-        by = np.argsort(g, kind="stable")
-        self.gram, self.item, self.at, self.weight = g[by], item[by], at[by], weight[by]
-        self.map = np.zeros(1 << 22, bool)
-        self.map[(self.gram & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        self.need = np.array([needed(int(k)) for k in self.limits], np.int64)
+        self.longest = int(self.sizes.max(initial=1))
+        self.pieces = int(self.limits.max(initial=0)) + 1
+        self.tables = self._pieces()
         rng = np.random.default_rng(11)
-        longest = int(self.sizes.max(initial=1))
-        fractions = rng.random((WALKS, BITS))  # drawn before the moves, so they don't depend on the longest item
-        self.moves = rng.integers(0, 2, (3 * longest + 3, WALKS * 256), dtype=np.int8)
-        self.steps = (self._reading()[:, :, None] * fractions).astype(np.int32)
+        fractions = rng.random((WALKS, BITS))
+        self.moves = rng.integers(0, 2, (PERIOD, WALKS * 256), dtype=np.int8)
+        self.steps = (np.minimum(self._reading(), HEAD)[:, :, None] * fractions).astype(np.int32)
         self.samples = self.embed(self.low, self.starts, np.arange(len(ids)))
 
+    def _pieces(self) -> dict[int, tuple[np.ndarray, ...]]:
+        """By width: the pieces' bytes, sorted, their items and places in them, and a bitmap of their bytes."""
+        some = np.flatnonzero(self.sizes)
+        pieces = self.limits[some] + 1
+        item = np.repeat(some, pieces)
+        n = np.arange(len(item)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        at = n * self.sizes[item] // (self.limits[item] + 1)
+        width = np.minimum(self.sizes[item] // (self.limits[item] + 1), 8)
+        key = _eight(self.low)[self.starts[item] + at] & _FIRST[width]
+        out = {}
+        for w in np.unique(width).tolist():
+            own = np.flatnonzero(width == w)
+            own = own[np.argsort(key[own], kind="stable")]
+            seen = np.zeros(1 << _MAP_BITS, bool)
+            seen[_slot(key[own])] = True
+            out[w] = (key[own], item[own], at[own], n[own], seen)
+        return out
+
     def _reading(self) -> np.ndarray:
         """(items, WALKS) steps in which a walk over the item reads its bytes, about two a byte."""
         got = np.zeros((len(self.sizes), WALKS), np.int32)
         place = np.repeat(self.starts[:, None], WALKS, 1)
         stop = (self.starts + self.sizes)[:, None]
         row = np.arange(WALKS) * 256
-        live = np.flatnonzero(self.sizes)
-        for t in range(len(self.moves)):
-            if not len(live):
-                break
+        live, t = np.flatnonzero(self.sizes), 0
+        while len(live):
             here = place[live]
             inside = here < stop[live]
             got[live] += inside
             c = self.low[np.minimum(here, len(self.low) - 1)].astype(np.int64)
-            place[live] = here + (self.moves[t].take(row + c) * inside)
-            live = live[inside.any(1)]
+            place[live] = here + (self.moves[t % PERIOD].take(row + c) * inside)
+            live, t = live[inside.any(1)], t + 1
         return got
 
     def embed(self, low: np.ndarray, starts: np.ndarray, item: np.ndarray) -> np.ndarray:
         """(windows, WALKS, BITS) sampled bytes of the CGK walks over windows of the items' sizes."""
+        got = np.zeros((len(starts), WALKS, BITS), np.uint8)
+        order = np.argsort(-self.sizes[item], kind="stable")
+        at = 0
+        while at < len(order):  # the longest first, as many at once as fit
+            n = max(1, WINDOW_BYTES // (int(self.sizes[item[order[at]]]) + 16 * WALKS))
+            some = order[at : at + n]
+            got[some] = self._embed(low, starts[some], item[some])
+            at += n
+        return got
+
+    def _embed(self, low: np.ndarray, starts: np.ndarray, item: np.ndarray) -> np.ndarray:
         n = len(starts)
         got = np.zeros((n, WALKS, BITS), np.uint8)
-        if not n:
-            return got
         need = self.steps[item].max((1, 2))
         order = np.argsort(-need, kind="stable")
         need, size = need[order], self.sizes[item][order]
@@ -132,7 +169,7 @@ class Items:
         # each window's bytes, then zeros; a walk that is through stays on a zero
         at = starts[order][:, None] + np.arange(width)
         inside = (np.arange(width) < size[:, None]) & (at < len(low))
-        buffer = np.where(inside, low[np.minimum(at, len(low) - 1)], 0).astype(np.uint8).ravel()
+        buffer = np.where(inside, low[np.minimum(at, max(len(low) - 1, 0))], 0).astype(np.uint8).ravel() if len(low) else np.zeros(n * width, np.uint8)
         steps = self.steps[item][order]
         due = np.argsort(steps, axis=None, kind="stable")
         last = int(steps.max())
@@ -148,43 +185,70 @@ class Items:
             if until[t] < until[t + 1]:
                 some = due[until[t] : until[t + 1]]
                 out[some] = c[some // (WALKS * BITS), some // BITS % WALKS]
-            here += self.moves[t].take(row + c)
+            here += self.moves[t % PERIOD].take(row + c)
             np.minimum(here, stop[: live[t]], out=here)
         back = np.empty_like(order)
         back[order] = np.arange(n)
         return got[back]
 
+    def _hits(self, low: np.ndarray) -> np.ndarray:
+        """Every piece that stands in the bytes, sorted, as one number of its item, the place where that would begin, and the piece."""
+        eight, found = _eight(low), []
+        for w, (key, item, at, piece, seen) in self.tables.items():
+            own = (item * self._span(low) - at) * self.pieces + piece
+            for from_ in range(0, len(low) - w + 1, PLACES):
+                gram = eight[from_ : min(from_ + PLACES, len(low) - w + 1)] & _FIRST[w]
+                maybe = np.flatnonzero(seen[_slot(gram)])
+                gram = gram[maybe]
+                lo, hi = np.searchsorted(key, gram, "left"), np.searchsorted(key, gram, "right")
+                count = hi - lo
+                row = np.repeat(np.arange(len(gram)), count)
+                which = np.arange(len(row)) + np.repeat(lo - (np.cumsum(count) - count), count)
+                found.append(own[which] + (maybe[row] + (from_ + self.longest)) * self.pieces)
+        return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+    def _span(self, low: np.ndarray) -> int:
+        """More than all places where an item could begin, so that items stay apart."""
+        return len(low) + 4 * self.longest + 64
+
     def windows(self, low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, start) of the windows that seeds propose."""
-        h, doc, s, _ = word_hashes(low, offsets)
-        hits = []
-        for n in (1, 2, 3):
-            g, first = _grams(h, doc, n)
-            maybe = np.flatnonzero(self.map[(g & np.uint64((1 << 22) - 1)).astype(np.int64)])
-            g, first = g[maybe], first[maybe]
-            lo, hi = np.searchsorted(self.gram, g, "left"), np.searchsorted(self.gram, g, "right")
-            count = hi - lo
-            row = np.repeat(np.arange(len(g)), count)
-            seed = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-            word = first[row]
-            hits.append((doc[word], self.item[seed], s[word] - self.at[seed], self.weight[seed]))
-        text, item, start, weight = (np.concatenate(x) for x in zip(*hits, strict=True))
-        if not len(text):
-            return text, item, start
-        # the nearest word is where a window begins
-        near = np.clip(np.searchsorted(s, start), 1, max(1, len(s) - 1))
-        near = np.where(np.abs(s[near - 1] - start) <= np.abs(s[np.minimum(near, len(s) - 1)] - start), near - 1, np.minimum(near, len(s) - 1))
-        start = np.clip(s[near], offsets[text], np.maximum(offsets[text + 1] - 1, offsets[text]))
-        by = np.lexsort((start, item, text))
-        text, item, start, weight = text[by], item[by], start[by], weight[by]
-        fresh = np.ones(len(text), bool)
-        fresh[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > self.limits[item[1:]] + 8)
-        group = np.cumsum(fresh) - 1
-        strong = np.bincount(group, weight) >= 2
-        distinct = fresh.copy()
-        distinct[1:] |= start[1:] != start[:-1]
-        keep = strong[group] & distinct
-        return text[keep], item[keep], start[keep]
+        """(text, item, start) of the windows that pieces propose.
+
+        Hits fall into bins as wide as the item's limit; two bins side by side
+        hold all that belong to one place.  They propose it if they hold enough
+        different pieces, and the window begins where their middle hit says.
+        """
+        none = np.zeros(0, np.int64)
+        hits = self._hits(low)
+        if not len(hits):
+            return none, none, none
+        line = hits // self.pieces
+        item = line // self._span(low)
+        start = line - item * self._span(low)
+        width = self.limits[item] + 1
+        bin_ = item * self._span(low) + start // width  # ascending with the hits
+        for distinct in (False, True):  # all hits first, which is quick, then different pieces
+            piece = hits % self.pieces
+            both = np.stack([bin_ - 1, bin_], 1).ravel()  # a pair of bins is named by its first
+            if distinct:
+                name = np.unique(both * self.pieces + np.repeat(piece, 2)) // self.pieces
+                pair, count = np.unique(name, return_counts=True)
+            else:
+                own, n = np.unique(bin_, return_counts=True)
+                follows = np.append(own[1:] == own[:-1] + 1, False)
+                pair = np.concatenate([own, own - 1])
+                count = np.concatenate([n + np.append(n[1:], 0) * follows, n])
+                pair, at = np.unique(pair, return_index=True)
+                count = count[at]
+            pair = pair[count >= self.need[np.minimum((pair + 1) // self._span(low), len(self.need) - 1)]]
+            keep = np.isin(bin_, pair) | np.isin(bin_ - 1, pair)
+            hits, item, start, bin_ = hits[keep], item[keep], start[keep], bin_[keep]
+        lo, hi = np.searchsorted(bin_, pair, "left"), np.searchsorted(bin_, pair + 1, "right")
+        middle = (lo + hi) // 2
+        item, start = item[middle], start[middle] - self.longest
+        place = start + (hits[middle] % self.pieces) * self.sizes[item] // (self.limits[item] + 1)  # where the piece stands
+        text = np.searchsorted(offsets, place, "right") - 1
+        return text, item, np.clip(start, offsets[text], np.maximum(offsets[text + 1] - 1, offsets[text]))
 
     def closest(self, item: int, region: bytes) -> tuple[int, int]:
         """The smallest edit distance of the item to a part of the region, and where that part stops."""
@@ -215,19 +279,66 @@ class Items:
             up, down = (minus | ~(zero | plus)) & full, plus & zero
         return best, stop
 
+    def _closest_many(self, item: np.ndarray, low: np.ndarray, from_: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for many regions at once, all in step, on words of 64 bits: (distance, length of the region up to there)."""
+        order = np.argsort(from_ - to, kind="stable")
+        own, row = np.unique(item[order], return_inverse=True)
+        words = -(-int(self.sizes[own].max()) // 64)
+        masks = np.zeros((len(own), 256, words), np.uint64)
+        for i in range(int(self.sizes[own].max())):
+            some = np.flatnonzero(self.sizes[own] > i)
+            masks[some, self.low[self.starts[own[some]] + i], i // 64] |= np.uint64(1 << (i % 64))
+        length, begin, size = (to - from_)[order], from_[order], self.sizes[item][order]
+        last, top, one = (size - 1) // 64, ((size - 1) % 64).astype(np.uint64), np.uint64(1)
+        up = [np.full(len(item), 2**64 - 1, np.uint64) for _ in range(words)]
+        down = [np.zeros(len(item), np.uint64) for _ in range(words)]
+        score = size.copy()
+        best, stop = score.copy(), np.zeros(len(item), np.int64)
+        live = np.searchsorted(-length, -np.arange(int(length[0])), "left") if len(length) else []
+        for t, n in enumerate(live):
+            eqs = masks[row[:n], low[begin[:n] + t]]
+            more = less = np.zeros(n, np.uint64)  # carried from the word before
+            for w in range(words):
+                u, d, eq = up[w][:n], down[w][:n], eqs[:, w]
+                x = eq | d
+                eq = eq | less
+                zero = (((eq & u) + u) ^ u) | eq
+                plus, minus = d | ~(zero | u), u & zero
+                ends = last[:n] == w
+                if ends.any():
+                    score[:n] += np.where(ends, ((plus >> top[:n]) & one).astype(np.int64) - ((minus >> top[:n]) & one).astype(np.int64), 0)
+                carry = plus >> np.uint64(63), minus >> np.uint64(63)
+                plus, minus = (plus << one) | more, (minus << one) | less
+                up[w][:n], down[w][:n] = minus | ~(x | plus), plus & x
+                more, less = carry
+            better = score[:n] < best[:n]
+            best[:n][better], stop[:n][better] = score[:n][better], t + 1
+        out, where = np.empty_like(best), np.empty_like(stop)
+        out[order], where[order] = best, stop
+        return out, where
+
     def leaks(self, low: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, start, stop) of each leaked item of each text, at its best place."""
         text, item, start = self.windows(low, offsets)
-        agree = (self.embed(low, start, item) == self.samples[item]).all(2).any(1) if len(text) else np.zeros(0, bool)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for d, i, a in zip(text[agree].tolist(), item[agree].tolist(), start[agree].tolist(), strict=True):
-            if best.get((d, i), (1,))[0] == 0:
-                continue
-            limit, size = int(self.limits[i]), int(self.sizes[i])
-            from_, to = max(int(offsets[d]), a - limit - 8), min(int(offsets[d + 1]), a + size + 2 * limit + 8)
-            distance, stop = self.closest(i, low[from_:to].tobytes())
-            if distance <= limit and (distance, from_ + stop) < best.get((d, i), (1 << 30,)):
-                best[d, i] = (distance, from_ + stop, max(int(offsets[d]), from_ + stop - size))
+        for at in range(0, len(text), 8192):
+            d, i, a = text[at : at + 8192], item[at : at + 8192], start[at : at + 8192]
+            agree = (self.embed(low, a, i) == self.samples[i]).all(2).any(1)
+            d, i, a = d[agree], i[agree], a[agree]
+            margin = 3 * self.limits[i] + 8
+            from_, to = np.maximum(offsets[d], a - margin), np.minimum(offsets[d + 1], a + self.sizes[i] + margin)
+            distance, stop = np.full(len(d), 1 << 30, np.int64), np.zeros(len(d), np.int64)
+            many = np.flatnonzero(self.sizes[i] <= TOGETHER)
+            for from_many in range(0, len(many), 2048):
+                some = many[from_many : from_many + 2048]
+                distance[some], stop[some] = self._closest_many(i[some], low, from_[some], to[some])
+            for n in np.flatnonzero(self.sizes[i] > TOGETHER).tolist():
+                if best.get((int(d[n]), int(i[n])), (1,))[0]:
+                    distance[n], stop[n] = self.closest(int(i[n]), low[from_[n] : to[n]].tobytes())
+            for n in np.flatnonzero(distance <= self.limits[i]).tolist():
+                key, end = (int(d[n]), int(i[n])), int(from_[n] + stop[n])
+                if (int(distance[n]), end) < best.get(key, (1 << 30,)):
+                    best[key] = (int(distance[n]), end, max(int(offsets[d[n]]), end - int(self.sizes[i[n]])))
         return [(d, i, distance, begin, stop) for (d, i), (distance, stop, begin) in sorted(best.items())]
 
 
@@ -251,7 +362,6 @@ def clean(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str
     """The rows, with all their columns, that leak no item.  No shuffle; null texts stay."""
     tune(df.sparkSession)
     at = df.columns.index(text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def one(frame: DataFrame, pass_: tuple[list, list[str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +373,7 @@ def clean(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str
                 keep[[x[0] for x in known.leaks(low, places)] if pass_[0] else []] = False
                 yield batch.filter(pa.array(keep))
 
-        return frame.mapInArrow(run, schema)
+        return frame.mapInArrow(run, frame.schema)
 
     for pass_ in _passes(items, item_col, item_text_col):
         df = one(df, pass_)
@@ -282,6 +392,7 @@ def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     spark = df.sparkSession
     tune(spark)
     kind, item_kind = df.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
+    item_arrow = arrow_type(items, item_col)
     passes = _passes(items, item_col, item_text_col)
     base = df.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("t"))
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, distance int, start bigint, stop bigint"
@@ -296,7 +407,7 @@ def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
                 begin = np.array([keep[x[3]] - offsets[x[0]] for x in found], np.int64)
                 stop = np.array([keep[x[4] - 1] + 1 - offsets[x[0]] for x in found], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array([x[0] for x in found], pa.int64())), pa.array([known.ids[x[1]] for x in found], pa.int64() if item_kind == "bigint" else None), pa.array([x[2] for x in found], pa.int32()), pa.array(begin), pa.array(stop)],
+                    [batch.column(0).take(pa.array([x[0] for x in found], pa.int64())), pa.array([known.ids[x[1]] for x in found], item_arrow), pa.array([x[2] for x in found], pa.int32()), pa.array(begin), pa.array(stop)],
                     [id_col, item_col, "distance", "start", "stop"],
                 )
 

@@ -16,13 +16,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changeloom.llm.shared import BATCH_ROWS, byte_column, tune, word_hashes
 
-#: The bound on what is fitted: so many labelled documents (those with the smallest hashes of their id), so many lines of each.
-SAMPLE_DOCS, SAMPLE_LINES = 6_000, 200
+#: The bound on what is fitted: so many labelled documents, those with the smallest hashes of their id, each whole,
+#: and fewer where they have more than so many lines together (the first of them always counts).
+SAMPLE_DOCS, SAMPLE_LINES = 6_000, 500_000
 STEPS, RATE, DECAY = 80, 0.15, 1e-4
 
 _EDGES = np.array([1e-9, 0.01, 0.03, 0.08, 0.15, 0.25, 0.4, 0.6, 0.8, 0.999])
@@ -193,8 +195,10 @@ def fit(bins: np.ndarray, weight: np.ndarray, lengths: np.ndarray, label: np.nda
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", hold_out: bool = True) -> Model:
-    """Fit on a bounded sample of labelled documents (SAMPLE_DOCS, SAMPLE_LINES).
+    """Fit on a bounded sample of labelled documents (SAMPLE_DOCS, SAMPLE_LINES), all lines of each.
 
+    Above 20 * SAMPLE_DOCS usable labels they are thinned by hash before the
+    smallest hashes are taken; that changes which documents are the sample.
     Rows whose crc32(id as text) mod 3 is 1 are never learned from.  Null labels
     and labels other than 0 and 1 don't count; of repeated labels the smallest does.
     Without usable labels every document scores as the labels seen (or good).
@@ -207,19 +211,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     step = max(1, usable.count() // (20 * SAMPLE_DOCS))  # else every task would send its own smallest to the driver
     usable = usable.where(F.pmod(F.xxhash64(id_col), F.lit(step)) == 0)
     sample = usable.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_DOCS).select(F.col(id_col).alias("id"), "label")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select("label", "text")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select(F.struct(F.xxhash64("id"), "id").alias("key"), "label", "text")
+    key_kind = texts.schema["key"].dataType
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins, weight, lengths = lines_of(batch.column(1))
-            rank = np.arange(len(bins)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            keep = rank < SAMPLE_LINES
-            bins, weight, lengths = bins[keep].astype(np.uint8), weight[keep], np.minimum(lengths, SAMPLE_LINES)
-            stops = np.cumsum(lengths)
+            bins, weight, lengths = lines_of(batch.column(2))
+            bins, stops = bins.astype(np.uint8), np.cumsum(lengths)
             rows = [(bins[e - n : e].tobytes(), weight[e - n : e].astype(np.float32).tobytes()) for e, n in zip(stops, lengths, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["label", "bins", "weight"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["key", "label", "n", "bins", "weight"])
 
-    table = texts.mapInArrow(features, "label int, bins binary, weight binary").toArrow()
+    schema = T.StructType([T.StructField("key", key_kind), *T.StructType.fromDDL("label int, n bigint, bins binary, weight binary").fields])
+    before = Window.orderBy("key", "bins").rowsBetween(Window.unboundedPreceding, -1)  # over the sample's rows alone
+    found = texts.mapInArrow(features, schema).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    table = found.where((F.col("before") == 0) | (F.col("before") + F.col("n") <= SAMPLE_LINES)).select("label", "bins", "weight").toArrow()
     raw = sorted(zip(table["label"].to_pylist(), table["bins"].to_pylist(), table["weight"].to_pylist(), strict=True))
     bins = np.frombuffer(b"".join(r[1] for r in raw), np.uint8).reshape(-1, STATS).astype(np.int16)
     weight = np.frombuffer(b"".join(r[2] for r in raw), np.float32).astype(np.float64)
@@ -230,7 +235,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(df: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """All columns and the quality, 0 to 1.  No shuffle; null text scores as an empty one.
 
-    A column that has the name already is replaced.
+    A column that has the name already is replaced.  Repeated rows score alike
+    and all stay; an empty frame gives an empty frame.
     """
     tune(df.sparkSession)
     df = df.drop(name) if name != text_col else df
@@ -248,5 +254,4 @@ def score(df: DataFrame, model: Model, text_col: str = "text", name: str = "scor
                 q = 1 / (1 + np.exp(-(a * _quality(p, weight, lengths) + b)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(q)], [*names, name])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{schema}, `{name}` double")
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))

@@ -44,7 +44,7 @@ def format_chat(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     conversation is one output string and so must fit in one task.
     """
     text, role = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.col(role_col).cast("string"), F.lit(""))
-    turn = F.struct(F.col(turn_col).alias("n"), _escape(role, True).alias("role"), _escape(text).alias("body"), (role == learn).alias("learn"))
+    turn = F.struct(F.col(turn_col).alias("n"), role.alias("role"), text.alias("body"))
     turns = df.groupBy(F.col(id_col)).agg(F.sort_array(F.collect_list(turn)).alias("turns_"))
 
     def piece(x: Column, i: Column) -> Column:
@@ -53,7 +53,9 @@ def format_chat(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
         same = (i > 0) & (before["role"] == x["role"])
         return F.struct(F.when(same, F.lit("")).otherwise(fresh).alias("lead"), x["body"].alias("body"), x["learn"].alias("learn"))
 
-    blocks = turns.select(id_col, F.transform("turns_", piece).alias("pieces_"))
+    # sorted by the texts as they are; escaped only then
+    escaped = F.transform("turns_", lambda x: F.struct(_escape(x["role"], True).alias("role"), _escape(x["body"]).alias("body"), (x["role"] == learn).alias("learn")))
+    blocks = turns.select(id_col, escaped.alias("turns_")).select(id_col, F.transform("turns_", piece).alias("pieces_"))
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["lead"])

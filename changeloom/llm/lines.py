@@ -1,6 +1,7 @@
 """Substring dedup by hashing lines and their sentences.
 
-A text is cut into units: at newlines, and inside a line after every ". ".
+A text is cut into units: after newlines, and inside a line after a full stop,
+question or exclamation mark with a space behind it.
 A unit's key is a 128-bit digest of its words, lower-cased and joined by one
 space.  Keys are grouped over all documents, the earliest occurrence (smallest
 id, then first in the text) is kept and every other is removed.  A unit of
@@ -11,6 +12,7 @@ there are too few, a short unit is always kept.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -18,21 +20,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from changeloom.llm.shared import Scratch, tune
+from changeloom.llm.shared import Scratch, tune, unused
 
 MIN_WORDS = 8
 
 
+_END = re.compile(r"[.?!] |\n")
+
+
 def cut(text: str) -> list[str]:
     """The units of a text; together they are the text."""
-    out = []
-    for line in text.split("\n"):
-        pieces = line.split(". ")
-        out += [p + ". " for p in pieces[:-1]]
-        out.append(pieces[-1] + "\n")
-    out[-1] = out[-1][:-1]
-    return [x for x in out if x]
+    out, at = [], 0
+    for end in _END.finditer(text):
+        out.append(text[at : end.end()])
+        at = end.end()
+    if at < len(text):
+        out.append(text[at:])
+    return out
+
+
+def added(df: DataFrame) -> tuple[str, str, str]:
+    """The names of dedup's own columns: n_units, n_removed and removed_spans, with underscores where df has them already."""
+    return unused("n_units", df), unused("n_removed", df), unused("removed_spans", df)
 
 
 def keys(text: str, min_words: int) -> tuple[list[int], bytes]:
@@ -58,7 +69,7 @@ def keys(text: str, min_words: int) -> tuple[list[int], bytes]:
 
 
 def dedup(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns with the text as it is left, and n_units, n_removed, removed_spans.
+    """All columns with the text as it is left, and n_units, n_removed, removed_spans (see added).
 
     removed_spans: ranges [start, stop) of code points of the original text, in
     order, adjacent ones joined.  Null text stays null with no units.  Null ids
@@ -85,14 +96,15 @@ def dedup(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(places), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())], ["id", "h", "place", "d1", "d2"])
 
     units = scratch.keep(base.mapInArrow(unit_rows, f"id {kind}, h bigint, place int, d1 bigint, d2 bigint"), "units")
-    rank = F.struct(F.col("id").isNull().alias("n"), "id", "h", "place")
+    rank = F.struct(F.col("id").isNull().alias("null"), "id", "h", "place")
     firsts = units.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n"), F.max(rank).alias("last")).where("n > 1 and first != last").drop("n", "last")
     firsts = scratch.keep(firsts, "firsts")  # else the join would run inside the grouping's tasks, and its hot keys couldn't be split
-    marks = units.join(firsts, ["d1", "d2"]).where(rank != F.col("first")).groupBy("id", "h").agg(F.collect_set("place").alias("__places")).withColumnsRenamed({"id": "__id", "h": "__h"})
+    own_id, own_hash, own_places, hash_ = (unused(x, df) for x in ("of_id", "of_hash", "places", "text_hash"))
+    marks = units.join(firsts, ["d1", "d2"]).where(rank != F.col("first")).groupBy("id", "h").agg(F.collect_set("place").alias(own_places)).withColumnsRenamed({"id": own_id, "h": own_hash})
     marks = scratch.keep(marks, "marks")
     scratch.drop(units, firsts)
-    joined = df.withColumn("__hash", F.xxhash64(F.col(text_col))).join(marks, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left").drop("__id", "__h", "__hash")
-    names = df.columns
+    joined = df.withColumn(hash_, F.xxhash64(F.col(text_col))).join(marks, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(hash_) == F.col(own_hash)), "left").drop(own_id, own_hash, hash_)
+    names, more_names = df.columns, added(df)
     at = names.index(text_col)
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
@@ -118,9 +130,8 @@ def dedup(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
             columns = batch.columns[: len(names)]
             columns[at] = pa.array(texts, pa.string())
             more = [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, spans_type)]
-            yield pa.RecordBatch.from_arrays(columns + more, [*names, "n_units", "n_removed", "removed_spans"])
+            yield pa.RecordBatch.from_arrays(columns + more, [*names, *more_names])
 
-    if {"n_units", "n_removed", "removed_spans"} & set(names):
-        raise ValueError("rename the columns n_units, n_removed and removed_spans first")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString() if f.name != text_col else 'string'}" for f in df.schema.fields)
-    return joined.mapInArrow(rebuild, f"{schema}, n_units bigint, n_removed bigint, removed_spans array<struct<start:int,stop:int>>")
+    fields = [T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType, True) for f in df.schema.fields]
+    kinds = (T.LongType(), T.LongType(), T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])))
+    return joined.mapInArrow(rebuild, T.StructType(fields + [T.StructField(n, k) for n, k in zip(more_names, kinds, strict=True)]))

@@ -40,6 +40,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 from changeloom.llm.shared import Scratch, parts, tune
 
 BLOCK_BYTES, SHARD_BYTES, BLOOM_BITS, BLOOM_HASHES = 64 << 10, 256 << 20, 10, 7
+_INTEGERS = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}
 MAGIC = b"CLSST1\0\0"
 _FOOTER = struct.Struct("<QQQQQQBI8s")
 #: Distinct words that a Python worker remembers; beyond it the memory is emptied.
@@ -260,14 +261,16 @@ def write_tables(df: DataFrame, tokenizer: str, end_id: int | None, out: Scratch
     encoded there: what is shuffled is the text, once.  Null text: only the end
     id.  Null ids come first.  Repeated rows are all kept, equal ids in the
     order of the text's hash.  An empty frame gives an empty manifest.
-    Manifest: shard, seq, file, first_key, last_key, n_docs, n_tokens.
+    Ids other than integers are taken as text.
+    Manifest: shard, seq, file, id_type, first_key, last_key, n_docs, n_tokens.
     """
     spark = df.sparkSession
     tune(spark)
     folder = out.path("shards")
     data = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    if dict(data.dtypes)["id"] not in ("bigint", "int", "smallint", "tinyint"):
+    if dict(data.dtypes)["id"] not in _INTEGERS:
         data = data.withColumn("id", F.col("id").cast("string"))
+    id_type = dict(data.dtypes)["id"]
     tie = F.xxhash64("text")
     data = data.repartitionByRange(parts(spark), F.col("id"), tie).sortWithinPartitions(F.col("id"), tie)
 
@@ -281,8 +284,8 @@ def write_tables(df: DataFrame, tokenizer: str, end_id: int | None, out: Scratch
         def close() -> pa.RecordBatch:
             writer.finish()
             stream.close()
-            row = [part, seq, name, writer.first, writer.last, len(writer.keys), writer.tokens]
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["shard", "seq", "file", "first_key", "last_key", "n_docs", "n_tokens"])
+            row = [part, seq, name, id_type, writer.first, writer.last, len(writer.keys), writer.tokens]
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["shard", "seq", "file", "id_type", "first_key", "last_key", "n_docs", "n_tokens"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -299,17 +302,23 @@ def write_tables(df: DataFrame, tokenizer: str, end_id: int | None, out: Scratch
         if writer is not None:
             yield close()
 
-    schema = "shard bigint, seq bigint, file string, first_key binary, last_key binary, n_docs bigint, n_tokens bigint"
+    schema = "shard bigint, seq bigint, file string, id_type string, first_key binary, last_key binary, n_docs bigint, n_tokens bigint"
     return out.keep(data.mapInArrow(run, schema), "manifest")
 
 
-def read_tables(manifest: DataFrame, id_type: str = "bigint", id_col: str = "doc_id") -> DataFrame:
+def read_tables(manifest: DataFrame, id_type: str | None = None, id_col: str = "doc_id") -> DataFrame:
     """(id_col, start, n_tokens, ids_crc32, token_ids) of every entry, from the files.
 
+    id_type: that of the ids as they were written, read from the manifest if not given (bigint where it is empty).
+
     start counts the ids of all entries before, over all shards: the shards'
     totals are summed in groups of 1,000 shards, then over the groups.
     """
     spark = manifest.sparkSession
+    if id_type is None:
+        one = manifest.select("id_type").first()
+        id_type = one.id_type if one else "bigint"
+    id_arrow = _INTEGERS.get(id_type, pa.string())
     groups = manifest.withColumn("grp", F.floor(F.col("shard") / 1000))
     inner = Window.partitionBy("grp").orderBy("shard", "seq").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
@@ -329,7 +338,6 @@ def read_tables(manifest: DataFrame, id_type: str = "bigint", id_col: str = "doc
                     crcs = [zlib.crc32(flat[e - k : e].tobytes()) for e, k in zip(ends, lengths, strict=True)]
                     start += int(ends[-1])
                     ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.view(np.int32)))
-                    kind = pa.int64() if id_type == "bigint" else pa.string()
-                    yield pa.RecordBatch.from_arrays([pa.array([value_of(k) for k in keys], kind), pa.array(starts), pa.array(lengths), pa.array(crcs, pa.int64()), ids], [id_col, "start", "n_tokens", "ids_crc32", "token_ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array([value_of(k) for k in keys], id_arrow), pa.array(starts), pa.array(lengths), pa.array(crcs, pa.int64()), ids], [id_col, "start", "n_tokens", "ids_crc32", "token_ids"])
 
     return files.repartition(parts(spark)).mapInArrow(run, f"`{id_col}` {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint, token_ids array<int>")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changeloom.operators.ordering import numbered
+
 EXTENSION, WATERMARK_TYPE = "_ext", "WATERMARK"
 
 #: SQL type, JDBC type number, Java-facing name, by Spark type.
@@ -54,7 +56,7 @@ def vector_text(c: Column) -> Column:
 
 
 def widened_type(kind: str, value: Column) -> Column:
-    """The Java type number of an unsigned integer, which depends on its value."""
+    """The Java type number of an unsigned integer of a SQL type (carried by a wider one), which depends on its value."""
     limits = {"tinyint": (127, -6, 5), "smallint": (32767, 5, 4), "int": (2**31 - 1, 4, -5), "bigint": (2**63 - 1, -5, 3)}
     top, narrow, wide = limits[kind]
     return F.when(value > top, wide).otherwise(narrow)
@@ -111,9 +113,19 @@ def _text_map(df: DataFrame, image: str) -> Column:
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
-def canal_encode(df: DataFrame, keys: list[str], extension: bool = True, changed_only: bool = False, name: str = EXTENSION) -> DataFrame:
-    """A JSON message for each row; es is the commit's physical milliseconds; values are text or null."""
-    fields = _fields(df)
+def canal_encode(df: DataFrame, keys: list[str], extension: bool = True, changed_only: bool = False, name: str = EXTENSION, unsigned: dict[str, str] | None = None) -> DataFrame:
+    """A JSON message for each row; es is the commit's physical milliseconds; values are text or null.
+
+    ``unsigned``: columns that are unsigned integers, with their SQL type; their type number depends on the value.
+    """
+    fields, unsigned = _fields(df), unsigned or {}
+
+    def number(n: str, k: str) -> Column:
+        if n not in unsigned:
+            return F.lit(TYPES.get(k, ("varchar", 12))[1])
+        value = F.when(F.col("row_type") == "D", F.col(f"pre.{n}")).otherwise(F.col(f"post.{n}"))
+        return F.coalesce(widened_type(unsigned[n], value), F.lit(TYPES[unsigned[n]][1]))
+
     image = F.when(F.col("row_type") == "D", _text_map(df, "pre")).otherwise(_text_map(df, "post"))
     if changed_only:
         old = F.struct(*[F.when(~F.col(f"pre.{n}").eqNullSafe(F.col(f"post.{n}")), text(F.col(f"pre.{n}"), k)).alias(n) for n, k in fields])
@@ -124,8 +136,8 @@ def canal_encode(df: DataFrame, keys: list[str], extension: bool = True, changed
     parts = [
         F.lit(0).alias("id"), F.col("schema_name").alias("database"), F.col("table_name").alias("table"), F.array(*[F.lit(k) for k in keys]).alias("pkNames"),
         F.lit(False).alias("isDdl"), kind.alias("type"), F.shiftright("commit_ts", 18).alias("es"), F.lit("").alias("sql"),
-        F.struct(*[F.lit(TYPES.get(k, ("varchar", 12))[1]).alias(n) for n, k in fields]).alias("sqlType"),
-        F.struct(*[F.lit(TYPES.get(k, ("varchar", 12))[0]).alias(n) for n, k in fields]).alias("mysqlType"),
+        F.struct(*[number(n, k).alias(n) for n, k in fields]).alias("sqlType"),
+        F.struct(*[F.lit(f"{unsigned[n]} unsigned" if n in unsigned else TYPES.get(k, ("varchar", 12))[0]).alias(n) for n, k in fields]).alias("mysqlType"),
         F.when(F.col("row_type") == "U", old_json).alias("old"), F.array(image).alias("data"),
     ]
     if extension:
@@ -200,25 +212,36 @@ def open_decode(messages: DataFrame, columns: dict[str, str]) -> DataFrame:
 def open_frames(df: DataFrame, size: int = OPEN_BATCH, max_bytes: int = 1 << 20) -> DataFrame:
     """C4: messages in batches: an 8-byte version, then 8-byte lengths before each key; values likewise.
 
-    Batches are cut within a (topic, partition) in commit order, at ``size``
-    rows; the bytes are put together by concatenation in the JVM.
+    Batches are cut within a (topic, partition) in commit order, every ``size``
+    rows and before a message that would take one past ``max_bytes`` (a message
+    counts with its two lengths; one that is larger alone is a batch alone).
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("topic", "partition").orderBy("commit_ts", "msg_key", "msg_value")
-    rows = df.withColumn("n", F.row_number().over(w) - 1)
+    rows = df.withColumn("stream_", F.concat_ws("/", "topic", F.col("partition").cast("string")))
+    rows = numbered(rows, "stream_", "commit_ts", ["msg_key", "msg_value"], "n").withColumn("n", F.col("n") - 1)
 
     def framed(c: str) -> Column:
         raw = F.col(c).cast("binary")
         return F.concat(F.unhex(F.lpad(F.hex(F.length(raw)), 16, "0")), raw)
 
-    items = F.transform(F.array_sort(F.collect_list(F.struct("n", framed("msg_key").alias("k"), framed("msg_value").alias("v")))), lambda x: x)
-    g = rows.groupBy("topic", "partition", F.floor(F.col("n") / size).alias("batch")).agg(items.alias("items"), F.count("*").alias("n_rows"))
+    items = F.array_sort(F.collect_list(F.struct("n", framed("msg_key").alias("k"), framed("msg_value").alias("v"))))
+    g = rows.groupBy("topic", "partition", F.floor(F.col("n") / size).alias("batch")).agg(items.alias("items"))
+
+    def add(acc: Column, x: Column) -> Column:
+        bytes_ = (F.octet_length(x["k"]) + F.octet_length(x["v"])).cast("bigint")
+        over = acc["held"] + bytes_ > max_bytes
+        part = F.when(over & (acc["held"] > 0), acc["part"] + 1).otherwise(acc["part"])
+        held = F.when(over, bytes_).otherwise(acc["held"] + bytes_)
+        return F.struct(part.alias("part"), held.alias("held"), F.concat(acc["parts"], F.array(part)).alias("parts"))
+
+    zero = F.struct(F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("held"), F.expr("cast(array() as array<int>)").alias("parts"))
+    g = g.withColumn("parts", F.aggregate("items", zero, add)["parts"])
+    g = g.withColumn("part", F.explode(F.array_distinct("parts")))
+    g = g.withColumn("items", F.filter("items", lambda x, i: F.get(F.col("parts"), i) == F.col("part")))
 
     def joined(f: str) -> Column:
         return F.aggregate("items", F.lit(b""), lambda acc, x: F.concat(acc, x[f]))
 
-    return g.select("topic", "partition", "batch", "n_rows", F.concat(F.unhex(F.lit(f"{OPEN_VERSION:016x}")), joined("k")).alias("key_frame"), joined("v").alias("value_frame"))
+    return g.select("topic", "partition", "batch", "part", F.size("items").cast("bigint").alias("n_rows"), F.concat(F.unhex(F.lit(f"{OPEN_VERSION:016x}")), joined("k")).alias("key_frame"), joined("v").alias("value_frame"))
 
 
 # simple
@@ -246,12 +269,66 @@ def simple_decode(messages: DataFrame, schemas: DataFrame) -> DataFrame:
 # debezium
 
 
-def debezium_encode(df: DataFrame, cluster: str, connector: str = "mysql") -> DataFrame:
-    """The envelope: before, after, op c/u/d, the source's place and times."""
+#: The envelope's types by Spark type: primitive, name of the logical type.
+DEBEZIUM_TYPES = {
+    "tinyint": ("int16", None), "smallint": ("int16", None), "int": ("int32", None), "bigint": ("int64", None), "float": ("float", None), "double": ("double", None),
+    "boolean": ("boolean", None), "string": ("string", None), "binary": ("bytes", None), "date": ("int32", "io.debezium.time.Date"),
+    "timestamp_ntz": ("int64", "io.debezium.time.Timestamp"), "timestamp": ("string", "io.debezium.time.ZonedTimestamp"),
+}
+
+
+def debezium_value(c: Column, kind: str, fraction: int = 3) -> Column:
+    """A value as the envelope has it: days of a date, milliseconds of a time without zone (microseconds beyond three digits), UTC text of one with, base64 of bytes, doubles of decimals."""
+    if kind == "date":
+        return F.unix_date(c)
+    if kind == "timestamp_ntz":
+        return _since_epoch(c, fraction)
+    if kind == "timestamp":
+        seconds = F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
+        digits = F.rtrim(F.lpad((F.unix_micros(c) % 1000000).cast("string"), 6, "0"), F.lit("0"))
+        return F.concat(seconds, F.when(digits != "", F.concat(F.lit("."), digits)).otherwise(""), F.lit("Z"))
+    if kind == "binary":
+        return F.base64(c)
+    if kind.startswith("decimal"):
+        return c.cast("double")
+    return c
+
+
+def _since_epoch(c: Column, fraction: int) -> Column:
+    micros = F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint") * 86400000000 + F.hour(c) * F.lit(3600000000).cast("bigint") + F.minute(c) * F.lit(60000000).cast("bigint") + (F.date_format(c, "ss").cast("bigint") * 1000000 + F.date_format(c, "SSSSSS").cast("bigint"))
+    return micros if fraction > 3 else F.floor(micros / 1000).cast("bigint")
+
+
+def debezium_schema(df: DataFrame, cluster: str, schema: str, table: str, fraction: int = 3) -> str:
+    """The schema section of a table's messages, as JSON."""
+    import json
+
+    fields = []
+    for name, kind in _fields(df):
+        primitive, logical = DEBEZIUM_TYPES.get(kind, ("double", None) if kind.startswith("decimal") else ("string", None))
+        if kind == "timestamp_ntz" and fraction > 3:
+            logical = "io.debezium.time.MicroTimestamp"
+        fields.append({"type": primitive, "optional": True, **({"name": logical, "version": 1} if logical else {}), "field": name})
+    prefix = f"{cluster}.{schema}.{table}"
+    images = [{"type": "struct", "optional": True, "name": f"{prefix}.Value", "field": x, "fields": fields} for x in ("before", "after")]
+    rest = [{"type": "string", "optional": False, "field": "op"}, {"type": "int64", "optional": True, "field": "ts_ms"}]
+    return json.dumps({"type": "struct", "optional": False, "name": f"{prefix}.Envelope", "version": 1, "fields": images + rest}, separators=(",", ":"))
+
+
+def debezium_encode(df: DataFrame, cluster: str, connector: str = "mysql", fraction: int = 3, schema: str = "") -> DataFrame:
+    """The envelope: before, after, op c/u/d, the source's place and times; schema: a schema section to put before the payload."""
     op = F.when(F.col("row_type") == "I", "c").when(F.col("row_type") == "U", "u").otherwise("d")
     source = F.struct(F.lit(connector).alias("connector"), F.lit(cluster).alias("cluster_id"), F.shiftright("commit_ts", 18).alias("ts_ms"), F.col("schema_name").alias("db"), F.col("table_name").alias("table"), F.col("commit_ts").alias("commit_ts"))
-    payload = F.struct(source.alias("source"), F.shiftright("commit_ts", 18).alias("ts_ms"), op.alias("op"), F.col("pre").alias("before"), F.col("post").alias("after"))
-    return df.withColumn("message", F.to_json(F.struct(payload.alias("payload"))))
+    payload = F.struct(source.alias("source"), F.shiftright("commit_ts", 18).alias("ts_ms"), op.alias("op"), _debezium_image(df, "pre", fraction).alias("before"), _debezium_image(df, "post", fraction).alias("after"))
+    message = F.to_json(F.struct(payload.alias("payload")))
+    if schema:
+        message = F.concat(F.lit('{"schema":' + schema + ","), F.expr("substring(message_, 2)"))
+        return df.withColumn("message_", F.to_json(F.struct(payload.alias("payload")))).withColumn("message", message).drop("message_")
+    return df.withColumn("message", message)
+
+
+def _debezium_image(df: DataFrame, image: str, fraction: int) -> Column:
+    return F.when(F.col(image).isNotNull(), F.struct(*[debezium_value(F.col(f"{image}.{n}"), k, fraction).alias(n) for n, k in _fields(df, image)]))
 
 
 def debezium_decode(messages: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -285,21 +362,55 @@ def avro_encode(df: DataFrame, image: str = "post") -> DataFrame:
 # Large messages
 
 
-def limit_message(df: DataFrame, limit: int, mode: str, message: str = "message", location: str = "", small: Column | None = None) -> DataFrame:
+def limit_message(df: DataFrame, limit: int, mode: str, message: str = "message", location: str = "", small: Column | None = None, key: Column | None = None, raw: bool = False) -> DataFrame:
     """What happens to messages over the limit: none (an error), claim-check (a place instead), handle-key-only.
 
     ``small``: the handle-key-only message, an error too if it is still too long.
+    claim-check leaves the whole message in ``claim_payload`` beside its place;
+    write_claims must have written them before the messages are sent.
     """
     size = F.octet_length(message)
     if mode == "claim-check":
         place = F.concat(F.lit(location.rstrip("/") + "/"), F.sha2(message, 256), F.lit(".json"))
-        return df.withColumn("claim_check", F.when(size > limit, place)).withColumn(message, F.when(size > limit, F.lit(None)).otherwise(F.col(message)))
+        key_json = F.base64(F.encode(key, "UTF-8")) if key is not None else F.lit("")
+        payload = F.col(message) if raw else F.to_json(F.struct(key_json.alias("key"), F.base64(F.encode(message, "UTF-8")).alias("value")))
+        out = df.withColumns({"claim_check": F.when(size > limit, place), "claim_payload": F.when(size > limit, payload)})
+        return out.withColumn(message, F.when(size > limit, F.lit(None)).otherwise(F.col(message)))
     fail = F.raise_error("message too large")
     if mode == "handle-key-only" and small is not None:
         return df.withColumn(message, F.when(size <= limit, F.col(message)).when(F.octet_length(small) <= limit, small).otherwise(fail.cast("string")))
     return df.withColumn(message, F.when(size <= limit, F.col(message)).otherwise(fail.cast("string")))
 
 
+def write_claims(df: DataFrame) -> DataFrame:
+    """Writes claim_payload to claim_check for each row that has them; (path, bytes) of what was written.
+
+    A lazy frame: it writes when it is run.  A file is named by its message's
+    digest and appears whole, so a task that runs again leaves the same files.
+    """
+
+    def run(batches):
+        import uuid
+
+        import pyarrow as pa
+        import pyarrow.fs
+
+        for batch in batches:
+            paths, sizes = [], []
+            for path, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fs, place = pa.fs.FileSystem.from_uri(path)
+                fs.create_dir(place.rpartition("/")[0], recursive=True)
+                data, part = payload.encode(), f"{place}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as out:
+                    out.write(data)
+                fs.move(part, place)
+                paths.append(path)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "bytes"])
+
+    return df.where("claim_check is not null").select("claim_check", "claim_payload").mapInArrow(run, "path string, bytes bigint")
+
+
 # Q1-Q5: statements
 
 
@@ -338,18 +449,30 @@ def statements(df: DataFrame, keys: list[str], safe: bool = False) -> DataFrame:
 
 
 def multi_row(df: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """Q4, Q6: deletes and inserts of a table in statements of at most size rows; deletes come first."""
-    from pyspark.sql import Window
+    """Q4, Q6: deletes, updates and inserts of a table in statements of at most size rows; deletes come first.
 
+    An update sets each column by CASE over the rows' conditions.
+    """
     fields = _fields(df)
-    single = F.when(F.col("row_type") == "D", F.concat(F.lit("("), F.concat_ws(" AND ", *[F.concat(F.lit(f"`{n}` = "), _literal(F.col(f"pre.{n}"), k)) for n, k in fields if n in keys]), F.lit(")"))).otherwise(F.concat(F.lit("("), F.concat_ws(",", *[_literal(F.col(f"post.{n}"), k) for n, k in fields]), F.lit(")")))
-    w = Window.partitionBy("schema_name", "table_name", "row_type").orderBy("commit_ts", "row_key")
-    rows = df.where("row_type != 'U'").withColumns({"piece": single, "n": F.row_number().over(w) - 1})
-    g = rows.groupBy("schema_name", "table_name", "row_type", F.floor(F.col("n") / size).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("n", "piece"))).alias("items"), F.count("*").alias("n_rows"))
-    pieces = F.transform("items", lambda x: x["piece"])
+    tests = [F.when(F.col(f"pre.{n}").isNull(), F.lit(f"`{n}` IS NULL")).otherwise(F.concat(F.lit(f"`{n}` = "), _literal(F.col(f"pre.{n}"), k))) for n, k in fields if n in (keys or [x for x, _ in fields])]
+    where = F.concat_ws(" AND ", *tests)
+    values = [_literal(F.col(f"post.{n}"), k) for n, k in fields]
+    rows = df.withColumns({"where_": where, "values_": F.array(*values), "group_": F.concat_ws("/", "schema_name", "table_name", "row_type")})
+    rows = numbered(rows, "group_", "commit_ts", ["row_key"], "n")
+    g = rows.groupBy("schema_name", "table_name", "row_type", F.floor((F.col("n") - 1) / size).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("n", "where_", "values_"))).alias("items"), F.count("*").alias("n_rows"))
+    conditions = F.concat(F.lit("("), F.array_join(F.transform("items", lambda x: x["where_"]), ") OR ("), F.lit(")"))
+    pieces = F.transform("items", lambda x: F.concat(F.lit("("), F.array_join(x["values_"], ","), F.lit(")")))
+
+    def case(n: str, i: int) -> Column:
+        rows_ = F.transform("items", lambda x: F.concat(F.lit("WHEN "), x["where_"], F.lit(" THEN "), F.get(x["values_"], F.lit(i))))
+        return F.concat(F.lit(f"`{n}`=CASE "), F.array_join(rows_, " "), F.lit(" END"))
+
+    cases = F.concat_ws(", ", *[case(n, i) for i, (n, _) in enumerate(fields)])
     table = F.concat(F.lit("`"), F.col("schema_name"), F.lit("`.`"), F.col("table_name"), F.lit("`"))
     names = ",".join(f"`{n}`" for n, _ in fields)
-    return g.withColumn("statement", F.when(F.col("row_type") == "D", F.concat(F.lit("DELETE FROM "), table, F.lit(" WHERE "), F.array_join(pieces, " OR "))).otherwise(F.concat(F.lit("INSERT INTO "), table, F.lit(f" ({names}) VALUES "), F.array_join(pieces, ",")))).drop("items")
+    remove = F.concat(F.lit("DELETE FROM "), table, F.lit(" WHERE "), conditions)
+    change = F.concat(F.lit("UPDATE "), table, F.lit(" SET "), cases, F.lit(" WHERE "), conditions)
+    return g.withColumn("statement", F.when(F.col("row_type") == "D", remove).when(F.col("row_type") == "U", change).otherwise(F.concat(F.lit("INSERT INTO "), table, F.lit(f" ({names}) VALUES "), F.array_join(pieces, ",")))).drop("items")
 
 
 def batch_eligible(n_rows: Column, has_key: Column, virtual_key: Column, mixed: Column) -> Column:

@@ -27,6 +27,7 @@ DDL_SCOPE = {
     "create view": "all", "drop view": "all",
     "alter ttl info": "single", "alter ttl remove": "single",
     "add foreign key": "single", "drop foreign key": "single", "add fulltext index": "single",
+    "add columns": "single", "drop columns": "single", "create hybrid index": "single",
 }
 
 #: Kinds that a rule on "alter table" also covers.

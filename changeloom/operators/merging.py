@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from changeloom.operators.ordering import carried, numbered
+
 ORDER = ("commit_ts", "start_ts", "dml_order", "row_key")
 
 
@@ -20,8 +22,8 @@ def transactions(df: DataFrame) -> DataFrame:
 
 def merge_by_commit(df: DataFrame) -> DataFrame:
     """A2: rows of one commit merge; ``regressed`` marks a commit that came after a later one (by seq)."""
-    w = Window.partitionBy("table_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    marked = df.withColumn("regressed", F.coalesce(F.col("commit_ts") < F.max("commit_ts").over(w), F.lit(False)))
+    marked = carried(df, "table_id", "seq", [], F.col("commit_ts"), "max", "latest", including=False)
+    marked = marked.withColumn("regressed", F.coalesce(F.col("commit_ts") < F.col("latest"), F.lit(False)))
     return marked.groupBy("table_id", "commit_ts").agg(F.count("*").alias("n_rows"), F.max("regressed").alias("regressed"))
 
 
@@ -32,7 +34,7 @@ def by_schema_version(df: DataFrame) -> DataFrame:
 
 def order_within(df: DataFrame, by: str = "table_id") -> DataFrame:
     """Each row's place in its table: commit, start, delete-update-insert, key."""
-    return df.withColumn("seq", F.row_number().over(Window.partitionBy(by).orderBy(*ORDER)))
+    return numbered(df, by, ORDER[0], list(ORDER[1:]))
 
 
 def compact(df: DataFrame, keys: list[str], seq: str, value: str, before: str) -> DataFrame:
@@ -72,9 +74,11 @@ def safe_split(df: DataFrame) -> DataFrame:
 def last_write_wins(target: DataFrame, source: DataFrame, key: str, value: str) -> DataFrame:
     """Upsert by key; a row is replaced if its origin (else commit) timestamp isn't later than the new one's.
 
-    target: (key, value, origin_ts, commit_ts); source: (key, value, commit_ts).
+    target: (key, value, origin_ts, commit_ts); source: (key, value, commit_ts
+    and perhaps seq, which decides between equal commits, else the larger value).
     """
-    s = source.groupBy(key).agg(F.max_by(value, "commit_ts").alias("s_value"), F.max("commit_ts").alias("s_ts"))
+    order = F.struct("commit_ts", *[c for c in ("seq",) if c in source.columns], value)
+    s = source.groupBy(key).agg(F.max_by(value, order).alias("s_value"), F.max("commit_ts").alias("s_ts"))
     take = F.col("s_ts").isNotNull() & (F.coalesce("origin_ts", "commit_ts", F.lit(-1)) <= F.col("s_ts"))
     return target.join(s, key, "full_outer").select(key, F.when(take, F.col("s_value")).otherwise(F.col(value)).alias(value), F.when(take, F.col("s_ts")).otherwise(F.coalesce("origin_ts", "commit_ts")).alias("ts"), take.alias("replaced"))
 
@@ -131,7 +135,8 @@ def conflict_keys(df: DataFrame, indexes: list[list[str]], lower: tuple[str, ...
         for n, index in enumerate(indexes):
             values = [F.lower(F.col(f"{image}.{c}").cast("string")) if c in lower else F.col(f"{image}.{c}").cast("string") for c in index]
             null = reduce(lambda a, b: a | b, [v.isNull() for v in values])
-            keys.append(F.when(~null, F.concat_ws("|", *values, F.lit(str(n)))))
+            plain = [F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for v in values]  # so that no two keys look alike
+            keys.append(F.when(~null, F.concat_ws("|", *plain, F.lit(str(n)))))
     found = F.array_distinct(F.array_compact(F.array(*keys)))
     return df.withColumn("conflict_key", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("table")))))
 
@@ -164,8 +169,31 @@ def fragments(df: DataFrame, size: int) -> DataFrame:
 
 
 def interval_min(ranges: DataFrame, probes: DataFrame) -> DataFrame:
-    """The smallest timestamp of the ranges that overlap each probe, by sharing a bucket before comparing."""
-    width = 1000
-    r = ranges.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
-    p = probes.withColumn("b", F.explode(F.sequence(F.floor(F.col("p_lo") / width), F.floor((F.col("p_hi") - 1) / width))))
-    return p.join(r, "b").where("lo < p_hi and p_lo < hi").groupBy("probe").agg(F.min("ts").alias("ts"))
+    """The smallest timestamp of the ranges that overlap each probe.
+
+    ranges: (lo, hi, ts), probes: (probe, p_lo, p_hi), both without their ends.
+    The line is cut into cells at every power of two.  A range is in at most
+    two cells of the smallest size above its length, so it gives at most two
+    rows however long it is; of two ranges that overlap, the shorter's cells at
+    the longer's size meet the longer's.
+    """
+    top = 63
+
+    def at(lo: str, hi: str, level: Column) -> Column:
+        """The cells of a level that hold the range's ends."""
+        return F.array_distinct(F.array(*[F.struct(level.alias("level"), F.call_function("shiftright", F.expr(x), level).alias("cell")) for x in (lo, f"{hi} - 1")]))
+
+    def level(lo: str, hi: str) -> Column:
+        return F.length(F.bin(F.col(hi) - F.col(lo)))
+
+    def own(df: DataFrame, lo: str, hi: str) -> DataFrame:
+        return df.withColumn("c", F.explode(at(lo, hi, level(lo, hi))))
+
+    def above(df: DataFrame, lo: str, hi: str, first: int) -> DataFrame:
+        return df.withColumn("c", F.explode(F.flatten(F.transform(F.filter(F.sequence(F.lit(1), F.lit(top)), lambda v: v >= level(lo, hi) + first), lambda v: at(lo, hi, v)))))
+
+    ranges, probes = ranges.where("lo < hi"), probes.where("p_lo < p_hi")
+    names = ["probe", "lo", "hi", "p_lo", "p_hi", "ts"]
+    longer = above(probes, "p_lo", "p_hi", 0).join(own(ranges, "lo", "hi"), "c").select(names)
+    shorter = own(probes, "p_lo", "p_hi").join(above(ranges, "lo", "hi", 1), "c").select(names)
+    return longer.unionByName(shorter).where("lo < p_hi and p_lo < hi").groupBy("probe").agg(F.min("ts").alias("ts"))

@@ -58,13 +58,16 @@ def rewrite_query(query: Column, schema: str, table: str, target_schema: str, ta
 
     Names are replaced where they stand alone; a full parser isn't used.
     """
-    q = F.lit("`")
-    full = F.concat(q, F.lit(target_schema), q, F.lit("."), q, F.lit(target_table), q)
-    text = r"('(?:[^']|'')*')"
-    qualified = f"{text}|`?\\b{schema}\\b`?\\s*\\.\\s*`?\\b{table}\\b`?"
-    first = F.regexp_replace(query, F.lit(qualified), F.concat(F.lit("$1\u0001"), F.lit("")))
+    full = F.lit(f"`{target_schema}`.`{target_table}`")
+    text, edge = r"('(?:[^']|'')*')", r"(?![\w`])"
+    schema, table = (rf"\Q{x}\E" for x in (schema, table))
+    qualified = rf"{text}|(?<![\w`.])(?:`{schema}`|{schema})\s*\.\s*(?:`{table}`|{table}){edge}"
+    words = "TABLE|EXISTS|ON|LIKE|TO|FROM|JOIN|INTO|UPDATE|REFERENCES|VIEW|TRUNCATE"
     # a string keeps its text ($1), a name becomes the mark alone
-    return F.regexp_replace(F.regexp_replace(first, "('(?:[^']|'')*')\u0001", "$1"), F.lit("\u0001"), full)
+    out = F.regexp_replace(F.regexp_replace(query, F.lit(qualified), F.lit("$1\u0001")), "('(?:[^']|'')*')\u0001", "$1")
+    found = rf"{text}|(?i:\b({words})(\s+))(?:`{table}`|{table}){edge}(?!\s*\.)"
+    out = F.regexp_replace(F.regexp_replace(out, F.lit(found), F.lit("$1$2$3\u0001")), "('(?:[^']|'')*')\u0001", "$1")
+    return F.replace(out, F.lit("\u0001"), full)
 
 
 #: Fixed value: the length that a topic's name can have.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.operators.filters import DDL_SCOPE, _small
+from changeloom.operators.ordering import carried, numbered
 
 
 def versions(ddl: DataFrame) -> DataFrame:
@@ -34,9 +35,8 @@ def as_of_merge(changes: DataFrame, ddl: DataFrame) -> DataFrame:
     names, facts = changes.columns, [c for c in ddl.columns if c != "table_id"]
     left = changes.select("table_id", F.struct(*names).alias("c"), F.col("commit_ts").alias("at"), F.lit(0).alias("side"), F.lit(None).cast(ddl.select(F.struct(*facts)).schema[0].dataType).alias("v"))
     right = ddl.select("table_id", F.lit(None).cast(left.schema["c"].dataType).alias("c"), F.col("version").alias("at"), F.lit(1).alias("side"), F.struct(*facts).alias("v"))
-    w = Window.partitionBy("table_id").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right).withColumn("v", F.last("v", ignorenulls=True).over(w))
-    return both.where("side = 0 and v is not null and not v.deleted").select("c.*", *[f"v.{x}" for x in facts])
+    both = carried(left.unionByName(right), "table_id", "at", ["side"], F.col("v"), "last", "held", including=True)
+    return both.where("side = 0 and held is not null and not held.deleted").select("c.*", *[f"held.{x}" for x in facts])
 
 
 def ddl_fetch(ddl: DataFrame, table_id: int, start: int, end: int) -> DataFrame:
@@ -51,6 +51,13 @@ def snapshot(ddl: DataFrame, ts: int, gc_ts: int = 0) -> DataFrame:
     return versions(ddl).where((F.col("version") <= ts) & (ts < F.col("next_version")) & ~F.col("deleted"))
 
 
+def tables_at(points: DataFrame, ddl: DataFrame) -> DataFrame:
+    """The tables that exist at each of several timestamps (column ts), with their versions."""
+    v = versions(ddl)
+    hit = (F.col("version") <= F.col("ts")) & (F.col("ts") < F.col("next_version"))
+    return points.join(F.broadcast(v) if _small(ddl) else v, hit).where("not deleted")
+
+
 def finished_jobs(jobs: DataFrame) -> DataFrame:
     """Done DDL jobs with their place in commit order."""
     return jobs.where("state = 'done'").withColumn("seq", F.row_number().over(Window.partitionBy("table_id").orderBy("version")))
@@ -102,11 +109,10 @@ def merge_order(dml: DataFrame, ddl: DataFrame) -> DataFrame:
     """One stream of both; at one timestamp rows come before the DDL."""
     a = dml.select("table_id", "commit_ts", F.lit(0).alias("is_ddl"), "row_key")
     b = ddl.select("table_id", F.col("version").alias("commit_ts"), F.lit(1).alias("is_ddl"), F.col("ddl_type").alias("row_key"))
-    w = Window.partitionBy("table_id").orderBy("commit_ts", "is_ddl", "row_key")
-    return a.unionByName(b).withColumn("seq", F.row_number().over(w))
+    return numbered(a.unionByName(b), "table_id", "commit_ts", ["is_ddl", "row_key"])
 
 
 def segments(merged: DataFrame) -> DataFrame:
     """The barrier segment of each event: how many DDLs of its table came before it."""
-    w = Window.partitionBy("table_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return merged.withColumn("segment", F.coalesce(F.sum("is_ddl").over(w), F.lit(0)))
+    before = carried(merged, "table_id", "seq", [], F.col("is_ddl"), "sum", "segment", including=False)
+    return before.withColumn("segment", F.coalesce("segment", F.lit(0)))

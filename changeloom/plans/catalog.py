@@ -22,8 +22,15 @@ def register(name: str, oracle: str | None = None):
     return add
 
 
+def crc_sql(rows: str, query: str) -> str:
+    """SQL over x: the rows of a query, whose column text (plain letters) has its CRC-32 beside it as crc, by the polynomial's table t."""
+    table = "SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"
+    one = "xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(text) + 1), lambda i: CAST(ascii(substr(text, i, 1)) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+    return f"WITH crc_table AS ({table}), x AS (SELECT r.*, {one} AS crc FROM ({rows}) r, crc_table) {query}"
+
+
 def _load() -> None:
-    from changeloom.plans import queries_rows, queries_sets  # noqa: F401  they register themselves
+    from changeloom.plans import queries_more, queries_rows, queries_sets  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,10 +9,11 @@ from changeloom.functions import codecs
 from changeloom.functions.globs import TableRules
 from changeloom.operators import filters, rewrite, routing, schemas
 from changeloom.operators.filters import EventRule
-from changeloom.plans.catalog import register
+from changeloom.plans.catalog import crc_sql, register
 from changeloom.plans.changefeed import Changefeed
 from changeloom.sources import derived
 from changeloom.sources.derived import COLUMNS, DDL_SQL, ORDERS_SQL
+from changeloom.sources.work import work_dir
 
 KINDS = {"key": "bigint", "cust": "bigint", "status": "string", "price": "bigint", "priority": "string"}
 FLAT = [f"{i}_{c}" for i in ("pre", "post") for c in COLUMNS]
@@ -225,7 +226,10 @@ def d2(spark, d):
     return rewrite.decode(raw_kv(spark, d)).select("event_id", "row_type")
 
 
-@register("d3_row_checksum")
+_IMAGE_TEXT = "concat_ws('', " + ", ".join(f"coalesce(length(CAST(post_{c} AS VARCHAR)) || ':' || post_{c}, '-1:')" for c in COLUMNS) + ")"
+
+
+@register("d3_row_checksum", crc_sql(f"SELECT *, {_IMAGE_TEXT} AS text FROM ({ORDERS_SQL}) WHERE row_type <> 'D'", "SELECT row_key, CASE WHEN CAST(row_key AS BIGINT) % 50 = 7 THEN crc + 1 ELSE crc END AS sent, CAST(row_key AS BIGINT) % 50 = 7 AS corrupted FROM x"))
 def d3(spark, d):
     df = derived.orders_changes(spark, d).where("row_type != 'D'")
     good = rewrite.row_checksum(list(COLUMNS), "post")
@@ -307,7 +311,20 @@ def r8(spark, d):
     return routing.active_topics(routing.assign_topic(derived.orders_changes(spark, d), _TOPICS, "all"), "all")
 
 
-@register("r9_partition_table")
+#: The CRC-32 of a text, where the polynomial's table is t.
+_CRC_OF = "xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length({s}) + 1), lambda i: CAST(ascii(substr({s}, i, 1)) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+_NAMED = f"SELECT *, schema_name || table_name AS text FROM ({ORDERS_SQL})"
+_PARTITIONED = crc_sql(_NAMED, "SELECT row_key, row_type, {xors} % 8 AS partition FROM x, crc_table")
+
+
+def _xors(*columns: str) -> str:
+    out = "crc"
+    for c in columns:
+        out = f"xor({out}, " + _CRC_OF.format(s=f"'{c}' || coalesce(post_{c}, pre_{c})") + ")"
+    return _PARTITIONED.replace("{xors}", out)
+
+
+@register("r9_partition_table", crc_sql(_NAMED, "SELECT row_key, row_type, crc % 8 AS partition FROM x"))
 def r9(spark, d):
     return brief(derived.orders_changes(spark, d), routing.partition_by_table(8).alias("partition"))
 
@@ -317,12 +334,12 @@ def r10(spark, d):
     return brief(derived.orders_changes(spark, d), routing.partition_by_ts(8).alias("partition"))
 
 
-@register("r11_partition_index")
+@register("r11_partition_index", _xors("key"))
 def r11(spark, d):
     return brief(derived.orders_changes(spark, d), routing.partition_by_columns(["key"], 8).alias("partition"))
 
 
-@register("r12_partition_columns")
+@register("r12_partition_columns", _xors("cust", "status"))
 def r12(spark, d):
     return brief(derived.orders_changes(spark, d), routing.partition_by_columns(["cust", "status"], 8).alias("partition"))
 
@@ -442,15 +459,22 @@ def c6(spark, d):
     return _trip(codecs.debezium_decode(codecs.debezium_encode(derived.orders_changes(spark, d), "one").select("message"), KINDS))
 
 
-@register("c9_claim_check", C + "SELECT row_key, length(line) > 60 AS moved FROM (SELECT row_key, '\"' || row_type || '\",\"' || table_name || '\",\"' || schema_name || '\",' || commit_ts || ',' || coalesce(post_key, pre_key) || ',' || coalesce(post_cust, pre_cust) || ',\"' || coalesce(post_status, pre_status) || '\",' || coalesce(post_price, pre_price) || ',\"' || coalesce(post_priority, pre_priority) || '\"' AS line FROM c)")
+@register("c9_claim_check", C + "SELECT row_key, length(line) > 60 AS moved, line FROM (SELECT row_key, '\"' || row_type || '\",\"' || table_name || '\",\"' || schema_name || '\",' || commit_ts || ',' || coalesce(post_key, pre_key) || ',' || coalesce(post_cust, pre_cust) || ',\"' || coalesce(post_status, pre_status) || '\",' || coalesce(post_price, pre_price) || ',\"' || coalesce(post_priority, pre_priority) || '\"' AS line FROM c)")
 def c9(spark, d):
-    m = codecs.limit_message(codecs.csv_encode(derived.orders_changes(spark, d)), 60, "claim-check", "line", "/claims")
-    return m.select("row_key", F.col("claim_check").isNotNull().alias("moved"))
-
-
-@register("q1_statements", C + "SELECT row_key, CASE row_type WHEN 'D' THEN 'DELETE FROM `' || schema_name || '`.`' || table_name || '` WHERE `key` = ' || pre_key || ' LIMIT 1' ELSE 'INSERT INTO `' || schema_name || '`.`' || table_name || '` (`key`,`cust`,`status`,`price`,`priority`) VALUES (' || post_key || ',' || post_cust || ',''' || post_status || ''',' || post_price || ',''' || post_priority || ''')' END AS statement FROM c WHERE row_type <> 'U'")
+    place = work_dir(spark, "claims")
+    place = place if "://" in place else f"file://{place}"
+    m = codecs.limit_message(codecs.csv_encode(derived.orders_changes(spark, d)), 60, "claim-check", "line", place, raw=True)
+    n = codecs.write_claims(m).agg(F.count("*")).first()[0]
+    sent = m.select("row_key", "line", F.regexp_extract("claim_check", r"[^/]+$", 0).alias("name"))
+    if not n:
+        return sent.select("row_key", F.col("name").isNotNull().alias("moved"), "line")
+    files = spark.read.text(place, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"[^/]+$", 0).alias("file"), F.col("value").alias("stored"))
+    return sent.join(files, F.col("name") == F.col("file"), "left").select("row_key", F.col("name").isNotNull().alias("moved"), F.coalesce("line", "stored").alias("line"))
+
+
+@register("q1_statements", C + "SELECT row_key, CASE row_type WHEN 'U' THEN 'UPDATE `' || schema_name || '`.`' || table_name || '` SET `key` = ' || post_key || ',`cust` = ' || post_cust || ',`status` = ''' || post_status || ''',`price` = ' || post_price || ',`priority` = ''' || post_priority || ''' WHERE `key` = ' || pre_key || ' LIMIT 1' WHEN 'D' THEN 'DELETE FROM `' || schema_name || '`.`' || table_name || '` WHERE `key` = ' || pre_key || ' LIMIT 1' ELSE 'INSERT INTO `' || schema_name || '`.`' || table_name || '` (`key`,`cust`,`status`,`price`,`priority`) VALUES (' || post_key || ',' || post_cust || ',''' || post_status || ''',' || post_price || ',''' || post_priority || ''')' END AS statement FROM c")
 def q1(spark, d):
-    return codecs.statements(derived.orders_changes(spark, d).where("row_type != 'U'"), ["key"]).select("row_key", "statement")
+    return codecs.statements(derived.orders_changes(spark, d), ["key"]).select("row_key", "statement")
 
 
 @register("q2_safe_mode", C + "SELECT row_type, count(*) * CASE row_type WHEN 'U' THEN 2 ELSE 1 END AS n FROM c GROUP BY row_type")
@@ -464,9 +488,17 @@ def q3(spark, d):
     return g.select("table_id", codecs.batch_eligible(F.col("n"), F.lit(True), F.col("table_id") % 2 == 1, F.lit(False)).alias("ok"))
 
 
-@register("q4_multi_row", C + "SELECT schema_name, table_name, row_type, (n - 1) // 50 AS batch, count(*) AS n_rows FROM (SELECT *, row_number() OVER (PARTITION BY schema_name, table_name, row_type ORDER BY commit_ts, row_key) AS n FROM c WHERE row_type <> 'U') GROUP BY ALL")
+_SETS = ", ".join(f"`{n}`=CASE ' || string_agg('WHEN `key` = ' || pre_key || ' THEN ' || {v}, ' ' ORDER BY n) || ' END" for n, v in (("key", "post_key"), ("cust", "post_cust"), ("status", "'''' || post_status || ''''"), ("price", "post_price"), ("priority", "'''' || post_priority || ''''")))
+_MULTI = f"""SELECT schema_name, table_name, row_type, (n - 1) // 50 AS batch, count(*) AS n_rows, CASE row_type
+  WHEN 'D' THEN 'DELETE FROM `' || schema_name || '`.`' || table_name || '` WHERE (' || string_agg('`key` = ' || pre_key, ') OR (' ORDER BY n) || ')'
+  WHEN 'U' THEN 'UPDATE `' || schema_name || '`.`' || table_name || '` SET {_SETS} WHERE (' || string_agg('`key` = ' || pre_key, ') OR (' ORDER BY n) || ')'
+  ELSE 'INSERT INTO `' || schema_name || '`.`' || table_name || '` (`key`,`cust`,`status`,`price`,`priority`) VALUES ' || string_agg('(' || post_key || ',' || post_cust || ',''' || post_status || ''',' || post_price || ',''' || post_priority || ''')', ',' ORDER BY n) END AS statement
+FROM (SELECT *, row_number() OVER (PARTITION BY schema_name, table_name, row_type ORDER BY commit_ts, row_key) AS n FROM c) GROUP BY schema_name, table_name, row_type, (n - 1) // 50"""
+
+
+@register("q4_multi_row", C + _MULTI)
 def q4(spark, d):
-    return codecs.multi_row(derived.orders_changes(spark, d), ["key"], 50).drop("statement")
+    return codecs.multi_row(derived.orders_changes(spark, d), ["key"], 50)
 
 
 FEED = {
@@ -487,3 +519,32 @@ s AS ({_SPLIT}) SELECT {ROWS}, CASE WHEN schema_name = 'audit' THEN 'audit' ELSE
 CASE WHEN schema_name = 'audit' THEN table_name ELSE table_name || '_routed' END AS target_table, commit_ts % 8 AS partition FROM s"""
 
 register("changefeed", flat_sql(_FEED))(run_feed)
+
+def _typed(spark, d) -> DataFrame:
+    """Orders with a date, a time, money and bytes."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    at = F.col("o_orderdate").cast("timestamp_ntz")
+    post = F.struct(F.col("o_orderkey").alias("key"), at.cast("date").alias("day"), at.alias("at"), F.col("o_totalprice").cast("decimal(15,2)").alias("price"), F.col("o_orderstatus").cast("binary").alias("raw"), (F.col("o_orderkey") % 2 == 0).alias("even"))
+    return o.select(F.lit("s").alias("schema_name"), F.lit("t").alias("table_name"), F.lit("I").alias("row_type"), F.col("o_orderkey").cast("bigint").alias("commit_ts"), F.lit(None).cast(o.select(post.alias("p")).schema["p"].dataType).alias("pre"), post.alias("post"))
+
+
+@register("c6_debezium_values", "SELECT o_orderkey AS key, CAST(datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS VARCHAR) AS day, CAST(epoch_ms(o_orderdate) AS VARCHAR) AS at, CAST(epoch_us(o_orderdate) AS VARCHAR) AS at_micros, CAST(round(o_totalprice, 2) AS DOUBLE) AS price, to_base64(encode(o_orderstatus)) AS raw, CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END AS even FROM orders")
+def c6b(spark, d):
+    df = _typed(spark, d)
+    m = codecs.debezium_encode(codecs.debezium_encode(df, "one", fraction=6).withColumnRenamed("message", "fine"), "one")
+
+    def field(n: str, message: str = "message") -> Column:
+        return F.get_json_object(message, f"$.payload.after.{n}")
+
+    return m.select(field("key").cast("bigint").alias("key"), field("day").alias("day"), field("at").alias("at"), field("at", "fine").alias("at_micros"), field("price").cast("double").alias("price"), field("raw").alias("raw"), field("even").alias("even"))
+
+
+@register("c2_canal_unsigned", "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 300 > 127 THEN '5' ELSE '-6' END AS tiny, CASE WHEN o_orderkey * 7 % 100000 > 32767 THEN '4' ELSE '5' END AS small, '4' AS plain, 'tinyint unsigned' AS name FROM orders")
+def c2c(spark, d):
+    k = F.col("o_orderkey")
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    # the values don't fit Spark's signed types of their names, so wider columns carry them
+    wide = F.struct((k % 300).cast("int").alias("tiny"), (k * 7 % 100000).cast("int").alias("small"), k.cast("int").alias("plain"))
+    df = o.select(k.alias("key"), F.lit("s").alias("schema_name"), F.lit("t").alias("table_name"), F.lit("I").alias("row_type"), k.cast("bigint").alias("commit_ts"), wide.alias("pre"), wide.alias("post"))
+    m = codecs.canal_encode(df, ["plain"], unsigned={"tiny": "tinyint", "small": "smallint"})
+    return m.select("key", *[F.get_json_object("message", f"$.sqlType.{n}").alias(n) for n in ("tiny", "small", "plain")], F.get_json_object("message", "$.mysqlType.tiny").alias("name"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changeloom.operators import merging, progress, schemas
-from changeloom.plans.catalog import register
+from changeloom.plans.catalog import crc_sql, register
 from changeloom.sources import derived, storage
 from changeloom.sources.derived import DDL_SQL, ITEMS_SQL, ORDERS_SQL
 from changeloom.sources.work import work_dir
@@ -199,15 +199,16 @@ def t2(spark, d):
 
 
 def flushed(spark, d) -> DataFrame:
-    return derived.orders_changes(spark, d).select("table_id", "commit_ts", (F.col("table_id") % 3 != (F.col("row_key").cast("long") % 17)).alias("flushed")).where("table_id < 20")
+    return derived.orders_changes(spark, d).select("table_id", "commit_ts", (F.col("table_id") % 3 != (F.col("row_key").cast("long") % 17)).alias("flushed"))
 
 
-_FLUSHED = C + ", p AS (SELECT table_id, commit_ts, table_id % 3 <> CAST(row_key AS BIGINT) % 17 AS flushed FROM c WHERE table_id < 20) "
+_FLUSHED = C + ", p AS (SELECT table_id, commit_ts, table_id % 3 <> CAST(row_key AS BIGINT) % 17 AS flushed FROM c) "
 
 
-@register("t3_table_checkpoint", _FLUSHED + ", g AS (SELECT table_id, min(commit_ts) FILTER (NOT flushed) AS w, max(commit_ts) AS s FROM p GROUP BY 1) SELECT t.table_id, coalesce(w - 1, greatest(s - 1, r), r) AS checkpoint_ts FROM (SELECT DISTINCT table_id, 220000000000000000 + table_id AS r FROM c) t LEFT JOIN g ON t.table_id = g.table_id")
+@register("t3_table_checkpoint", _FLUSHED + ", g AS (SELECT table_id, min(commit_ts) FILTER (NOT flushed) AS w, max(commit_ts) AS s FROM p GROUP BY 1) SELECT t.table_id, coalesce(w - 1, greatest(s - 1, r), r) AS checkpoint_ts FROM (SELECT DISTINCT table_id, 220000000000000000 + table_id AS r FROM c UNION ALL SELECT 99, 220000000000000099) t LEFT JOIN g ON t.table_id = g.table_id")
 def t3(spark, d):
-    resolved = derived.orders_changes(spark, d).select("table_id").distinct().withColumn("resolved_ts", F.col("table_id") + MID)
+    tables = derived.orders_changes(spark, d).select("table_id").distinct().union(spark.range(99, 100))  # one without progress
+    resolved = tables.withColumn("resolved_ts", F.col("table_id") + MID)
     return progress.table_checkpoint(flushed(spark, d), resolved)
 
 
@@ -222,7 +223,7 @@ def a7(spark, d):
     return progress.redo_meta(spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey as checkpoint_ts", "o_custkey as resolved_ts"))
 
 
-@register("a8_chunk_checksum")
+@register("a8_chunk_checksum", crc_sql("SELECT p_partkey // 100 AS chunk, p_partkey || ',' || p_name || ',' || p_size AS text FROM part", "SELECT chunk, count(*) AS n_rows, bit_xor(crc) AS checksum FROM x GROUP BY chunk"))
 def a8(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet")
     return merging.chunk_checksums(p, "p_partkey", ["p_name", "p_size"], 100)
@@ -300,8 +301,8 @@ def o1(spark, d):
     changes.where("seq <= 2").coalesce(1).write.parquet(f"{root}/in")
     changes.where("seq > 2").coalesce(1).write.mode("append").parquet(f"{root}/in")
     stream = feeds.file_stream(spark, f"{root}/in", changes.schema)
-    table = feeds.apply_stream(stream, root, "key", ["quantity"], "seq")
-    return spark.read.parquet(f"{table}/1")
+    feeds.apply_stream(stream, root, "key", ["quantity"], "seq")
+    return feeds.applied(spark, root, 1, "key bigint, quantity bigint")
 
 
 @register("w5_resolve_stream", "SELECT key, commit_ts FROM (SELECT event_id AS key, event_id * 10 AS commit_ts FROM events) WHERE commit_ts <= (SELECT max(event_id) // 2 * 10 FROM events)")
@@ -313,7 +314,7 @@ def w5b(spark, d):
     done = spark.range(4).select(F.lit("resolved").alias("kind"), F.col("id").alias("region_id")).join(top).select("kind", "region_id", F.lit(0).cast("long").alias("key"), (F.col("t") + F.col("region_id") * 1000).alias("commit_ts"))
     rows.coalesce(1).write.parquet(f"{root}/in")
     done.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    out = feeds.resolve_stream(feeds.file_stream(spark, f"{root}/in", rows.schema), root)
+    out = feeds.resolve_stream(feeds.file_stream(spark, f"{root}/in", rows.schema), root, spark.range(4).withColumnRenamed("id", "region_id"))
     return spark.read.parquet(out).select("key", "commit_ts")
 
 
@@ -442,5 +443,4 @@ def l6(spark, d):
 @register("l10_tables_at", D + ", v AS (SELECT *, coalesce(lead(version) OVER (PARTITION BY table_id ORDER BY version), 9223372036854775807) AS n FROM d), t AS (SELECT DISTINCT 200000000000000000 + n_nationkey * 2000000000000000 AS ts FROM nation) SELECT ts, count(*) AS n_tables, sum(n_columns)::BIGINT AS n_columns FROM t JOIN v ON version <= ts AND ts < n WHERE NOT deleted GROUP BY ts")
 def l10(spark, d):
     ts = spark.read.parquet(f"{d}/nation.parquet").select((F.lit(200000000000000000) + F.col("n_nationkey").cast("long") * 2000000000000000).alias("ts")).distinct()
-    v = schemas.versions(derived.ddl_history(spark))
-    return ts.join(F.broadcast(v), (F.col("version") <= F.col("ts")) & (F.col("ts") < F.col("next_version"))).where("not deleted").groupBy("ts").agg(F.count("*").alias("n_tables"), F.sum("n_columns").alias("n_columns"))
+    return schemas.tables_at(ts, derived.ddl_history(spark)).groupBy("ts").agg(F.count("*").alias("n_tables"), F.sum("n_columns").alias("n_columns"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def write_log(df: DataFrame, path: str) -> None:
-    """S3: the change log, a folder for each table, sorted by commit, start, kind and key within its files."""
-    df.repartition("table_id").sortWithinPartitions("table_id", "commit_ts", "start_ts", "dml_order", "row_key").write.mode("overwrite").option("compression", "zstd").partitionBy("table_id").parquet(path)
+    """S3: the change log, a folder for each table, sorted by commit, start, kind and key within its files; a large table is many ranges."""
+    df.repartitionByRange("table_id", "commit_ts").sortWithinPartitions("table_id", "commit_ts", "start_ts", "dml_order", "row_key").write.mode("overwrite").option("compression", "zstd").partitionBy("table_id").parquet(path)
 
 
 def scan_log(spark: SparkSession, path: str, start: int, end: int, tables: list[int] | None = None) -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests), under a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="changeloom-")
+    """A new folder under spark.checkpoint.dir; where that is unset and all run in one process (tests), under a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="changeloom-")
     return f"{base.rstrip('/')}/changeloom-{name}-{uuid.uuid4().hex[:12]}"

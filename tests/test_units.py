@@ -259,3 +259,76 @@ def test_change_log_source(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert len(got) == 6
+
+
+def test_places_without_a_window_by_table(spark):
+    """Slices give what one window over the table gives, and no window is by table alone."""
+    from pyspark.sql import Window
+
+    from changeloom.operators import ordering
+
+    df = derived.orders_changes(spark, SMALL).select("table_id", (F.col("commit_ts") % 997).alias("commit_ts"), "row_key").unionByName(spark.range(4).selectExpr("null as table_id", "id as commit_ts", "cast(id as string) as row_key"))
+    got = ordering.numbered(df, "table_id", "commit_ts", ["row_key"], slices=8, whole=0)
+    w = Window.partitionBy("table_id").orderBy("commit_ts", "row_key")
+    want = df.withColumn("seq", F.row_number().over(w))
+    assert got.exceptAll(want).isEmpty() and got.count() == want.count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "row_number() windowspecdefinition(table_id#" in plan and ", slice#" in plan.split("row_number() windowspecdefinition")[1][:60]
+    value = F.when(F.col("row_key").cast("long") % 5 == 0, F.col("row_key").cast("long"))
+    for how, fold in (("sum", F.sum), ("max", F.max), ("last", lambda c: F.last(c, ignorenulls=True))):
+        for including in (True, False):
+            got = ordering.carried(df, "table_id", "commit_ts", ["row_key"], value, how, "v", including, slices=8, whole=0)
+            want = df.withColumn("v", fold(value).over(w.rowsBetween(Window.unboundedPreceding, 0 if including else -1)))
+            assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty(), (how, including)
+
+
+def test_frames_are_cut_by_bytes(spark):
+    df = spark.createDataFrame([("t", 0, i, "k", "v" * n) for i, n in enumerate((10, 10, 100, 1, 1))], "topic string, partition int, commit_ts bigint, msg_key string, msg_value string")
+    got = [r.n_rows for r in codecs.open_frames(df, 16, 60).orderBy("batch", "part").collect()]
+    assert got == [2, 1, 2]  # a message counts 16 bytes more; the long one is alone
+
+
+def test_claims_are_written(spark, tmp_path):
+    df = spark.createDataFrame([("short", "a"), ("x" * 50, "b")], "message string, k string")
+    out = codecs.limit_message(df, 10, "claim-check", location=f"file://{tmp_path}/c", key=F.col("k"))
+    written = codecs.write_claims(out).collect()
+    assert len(written) == 1 and json.loads((tmp_path / "c" / written[0].path.rpartition("/")[2]).read_text()) == {"key": "Yg==", "value": __import__("base64").b64encode(b"x" * 50).decode()}
+    assert out.where("message is null").count() == 1
+
+
+def test_debezium_schema(spark):
+    df = spark.createDataFrame([], "pre struct<d date, t timestamp_ntz, z timestamp, b binary>, post struct<d date, t timestamp_ntz, z timestamp, b binary>")
+    s = json.loads(codecs.debezium_schema(df, "c", "s", "t"))
+    assert [f["field"] for f in s["fields"]] == ["before", "after", "op", "ts_ms"]
+    assert [(f["type"], f.get("name")) for f in s["fields"][0]["fields"]] == [("int32", "io.debezium.time.Date"), ("int64", "io.debezium.time.Timestamp"), ("string", "io.debezium.time.ZonedTimestamp"), ("bytes", None)]
+    row = spark.sql("select 's' as schema_name, 't' as table_name, 'I' as row_type, 0L as commit_ts, timestamp'2020-01-02 03:04:05.5' as z").select("*", F.struct("z").alias("post")).withColumn("pre", F.lit(None).cast("struct<z timestamp>"))
+    m = json.loads(codecs.debezium_encode(row, "c", schema=codecs.debezium_schema(row, "c", "s", "t")).first().message)
+    assert m["payload"]["after"]["z"] == "2020-01-02T03:04:05.5Z" and m["schema"]["name"] == "c.s.t.Envelope"
+
+
+def test_kept_matching(spark, tmp_path):
+    schema = "key string, start_ts bigint, type string, commit_ts bigint, value string, generation bigint"
+    rows = [("a", 1, "PREWRITE", None, "x", 1), ("b", 1, "PREWRITE", None, "y", 1), ("c", 1, "COMMIT", 9, None, None)], [("a", 1, "COMMIT", 7, None, None), ("b", 1, "ROLLBACK", None, None, None), ("c", 1, "PREWRITE", None, "z", 1), ("c", 1, "PREWRITE", None, "", 2), ("d", 2, "COMMITTED", 5, "w", None)]
+    for n, some in enumerate(rows):
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = feeds.file_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema)
+    out = spark.read.parquet(feeds.match_kept(stream, f"{tmp_path}/m"))
+    assert sorted((r.key, r.start_ts, r.commit_ts, r.value) for r in out.collect()) == [("a", 1, 7, "x"), ("c", 1, 9, "z"), ("d", 2, 5, "w")]
+    assert spark.read.schema(schema).parquet(f"{tmp_path}/m/waiting/1").count() == 0
+
+
+def test_regions_not_heard_of_hold_back(spark, tmp_path):
+    schema = "kind string, region_id bigint, commit_ts bigint"
+    spark.createDataFrame([("row", 0, 5), ("resolved", 0, 10)], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = feeds.file_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema)
+    for regions, n in ((1, 1), (2, 0)):
+        out = feeds.resolve_stream(stream, f"{tmp_path}/r{regions}", spark.range(regions).withColumnRenamed("id", "region_id"))
+        assert spark.read.schema(schema).parquet(out).count() == n
+
+
+def test_rewritten_names(spark):
+    q = spark.createDataFrame([("ALTER TABLE t.x ADD c INT",), ("ALTER TABLE `t` ADD t INT",), ("CREATE TABLE n LIKE t",), ("INSERT INTO t VALUES ('t from t')",), ("ALTER TABLE `s` . `t` DROP t",)], "q string")
+    got = [r.x for r in q.select(routing.rewrite_query(F.col("q"), "s", "t", "n", "m").alias("x")).collect()]
+    assert got == ["ALTER TABLE t.x ADD c INT", "ALTER TABLE `n`.`m` ADD t INT", "CREATE TABLE n LIKE `n`.`m`", "INSERT INTO `n`.`m` VALUES ('t from t')", "ALTER TABLE `n`.`m` DROP t"]
+    odd = spark.createDataFrame([("DROP TABLE `a.b`.`c(d`",)], "q string")
+    assert odd.select(routing.rewrite_query(F.col("q"), "a.b", "c(d", "n", "m")).first()[0] == "DROP TABLE `n`.`m`"

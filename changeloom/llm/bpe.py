@@ -122,7 +122,7 @@ class Ranks:
         self.automaton.make_automaton()
         self._known.clear()
         self.pattern = regex.compile(pattern)
-        self.mids: dict[str, bytes] = {}
+        self.mids = _Mids(self)
         self.pieces: dict[str, bytes] = {}
         self.newline = self._ids("\n")
 
@@ -194,22 +194,6 @@ class Ranks:
                 self.pieces[piece] = ids
         return ids
 
-    def _mid(self, word: str) -> bytes:
-        """The packed ids of a word that isn't remembered, with the space before it."""
-        bare, mark = word[:-1], word[-1:]
-        # Letters, perhaps with a mark behind: the pattern's matches are plain to see.
-        if word.isalpha() and word.isascii():
-            ids = array("i", self.encode_piece(b" " + word.encode())).tobytes()
-        elif mark and mark in ".,;:!?" and bare.isalpha() and bare.isascii():
-            ids = (self.mids.get(bare) or self._mid(bare)) + self._piece(mark)
-        else:
-            ids = self._ids(" " + word)
-        if len(word) < 64:
-            if len(self.mids) >= MEMORY_WORDS:
-                self.mids.clear()
-            self.mids[word] = ids
-        return ids
-
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text, each match of the pattern encoded separately.
 
@@ -222,14 +206,14 @@ class Ranks:
             return np.zeros(0, np.int32)
         if _PLAIN.fullmatch(text) is None:
             return np.frombuffer(self._ids(text), np.int32)
-        mids, mid = self.mids.get, self._mid
+        mids = self.mids.__getitem__
         out = []
         for line in text.split("\n"):
             words = line.split(" ")
             if out:
                 out.append(self.newline)
             out.append(self._ids(words[0]))
-            out += [mids(w) or mid(w) for w in words[1:]]
+            out += map(mids, words[1:])
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
@@ -240,6 +224,28 @@ class Ranks:
         return self.blob[np.repeat(self.starts[ids] - (stops - lengths), lengths) + np.arange(total)]
 
 
+class _Mids(dict):
+    """The packed ids of words with the space before them; a word that isn't remembered is encoded when it is looked up."""
+
+    def __init__(self, ranks: Ranks):
+        self.ranks = ranks
+
+    def __missing__(self, word: str) -> bytes:
+        bare, mark = word[:-1], word[-1:]
+        # Letters, perhaps with a mark behind: the pattern's matches are plain to see.
+        if word.isalpha() and word.isascii():
+            ids = array("i", self.ranks.encode_piece(b" " + word.encode())).tobytes()
+        elif mark in ".,;:!?" and bare.isalpha() and bare.isascii():
+            ids = self[bare] + self.ranks._piece(mark)
+        else:
+            ids = self.ranks._ids(" " + word)
+        if len(word) < 64:
+            if len(self) >= MEMORY_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 #: Visible runs with single spaces or newlines between them.
 _PLAIN = re.compile(r"\S+(?:[ \n]\S+)*")
 
@@ -250,6 +256,19 @@ def ranks(path: str, pattern: str) -> Ranks:
     return Ranks(path, pattern)
 
 
+def _encoded(table: Ranks, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids, ids by text) of a column of texts."""
+    found = [table.encode(t) if t else np.zeros(0, np.int32) for t in texts.to_pylist()]
+    return np.concatenate(found) if found else np.zeros(0, np.int32), np.array([len(x) for x in found], np.int64)
+
+
+def _decoded(table: Ranks, ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    data = table.decode(ids)
+    ends = np.concatenate([[0], np.cumsum(table.lengths[ids])])
+    offsets = ends[np.concatenate([[0], np.cumsum(lengths)])].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, token_ids array<int>) of every row; other columns are left out.
 
@@ -263,10 +282,8 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks(path, pattern)
         for batch in batches:
-            found = [table.encode(t) if t else np.zeros(0, np.int32) for t in batch.column(1).to_pylist()]
-            flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-            ids = list_array(flat, [len(x) for x in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], [id_col, "token_ids"])
+            flat, lengths = _encoded(table, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(flat, lengths, pa.int32())], [id_col, "token_ids"])
 
     return df.select(id_col, F.col(text_col).cast("string").alias("text_")).mapInArrow(run, f"`{id_col}` {kind}, token_ids array<int>")
 
@@ -280,12 +297,23 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> Da
         table = ranks(path, pattern)
         for batch in batches:
             column = batch.column(1)
-            lengths = np.nan_to_num(np.asarray(column.value_lengths().fill_null(0))).astype(np.int64)
-            ids = np.asarray(column.flatten()).astype(np.int64)
-            data = table.decode(ids)
-            ends = np.concatenate([[0], np.cumsum(table.lengths[ids])])
-            offsets = ends[np.concatenate([[0], np.cumsum(lengths)])].astype(np.int32)
-            decoded = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            lengths = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
+            decoded = _decoded(table, np.asarray(column.flatten()).astype(np.int64), lengths)
             yield pa.RecordBatch.from_arrays([batch.column(0), column, decoded], [id_col, "token_ids", "decoded"])
 
     return df.select(id_col, "token_ids").mapInArrow(run, f"`{id_col}` {kind}, token_ids array<int>, decoded binary")
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What decode(encode(df)) gives, in one pass through one Python worker a task; the bytes are decoded from the ids alone."""
+    tune(df.sparkSession)
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = ranks(path, pattern)
+        for batch in batches:
+            flat, lengths = _encoded(table, batch.column(1))
+            decoded = _decoded(table, flat, lengths)
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(flat, lengths, pa.int32()), decoded], [id_col, "token_ids", "decoded"])
+
+    return df.select(id_col, F.col(text_col).cast("string").alias("text_")).mapInArrow(run, f"`{id_col}` {kind}, token_ids array<int>, decoded binary")

@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changeloom.llm.shared import Scratch, list_array, tune
+from changeloom.llm.shared import Scratch, list_array, parts, tune
 
-#: Nodes of a shard, edges of a node, width of the beam, relaxation of pruning, queries of a block.
-SHARD, DEGREE, BEAM, ALPHA, QUERIES = 4096, 32, 64, 1.2, 8192
+#: Fewest and most nodes of a shard, edges of a node, width of the beam, relaxation of pruning, queries of a block.
+SHARD, LARGE, DEGREE, BEAM, ALPHA, QUERIES = 4096, 65536, 32, 64, 1.2, 8192
 _BATCH = 128
 
 
@@ -109,6 +109,11 @@ def build(x: np.ndarray, degree: int = DEGREE, width: int = BEAM, alpha: float =
     return graph, start
 
 
+def shards_for(nodes: int, parallel: int) -> int:
+    """As many shards as tasks can run, of SHARD to LARGE nodes each: a walk's length hardly grows with its shard, but every query walks every shard."""
+    return max(1, -(-nodes // min(LARGE, max(SHARD, -(-nodes // parallel)))))
+
+
 def index(df: DataFrame, k: int, scratch: Scratch, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The index table: (dim, shard, start, node, ids, vector, near), a row for each different vector.
 
@@ -124,7 +129,7 @@ def index(df: DataFrame, k: int, scratch: Scratch, id_col: str = "vec_id", vecto
         rows = rows.withColumn("r", rank).where(F.col("r") <= k + 1).drop("r")
     nodes = rows.groupBy("v1", "v2").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("vector").alias("vector"))
     nodes = scratch.keep(nodes.withColumn("dim", F.size("vector")), "nodes")
-    shards = max(1, -(-nodes.count() // SHARD))
+    shards = shards_for(nodes.count(), parts(df.sparkSession))
     nodes = nodes.withColumn("shard", F.pmod("v1", F.lit(shards)).cast("int")).select("dim", "shard", "v1", "ids", "vector")
 
     def link(table: pa.Table) -> pa.Table:
@@ -135,6 +140,7 @@ def index(df: DataFrame, k: int, scratch: Scratch, id_col: str = "vec_id", vecto
         near = list_array(graph.ravel().astype(np.int32), [graph.shape[1]] * n, pa.int32())
         return pa.table({"dim": table["dim"], "shard": table["shard"], "start": pa.array(np.full(n, start, np.int32)), "node": pa.array(np.arange(n, dtype=np.int32)), "ids": table["ids"], "vector": table["vector"], "near": near})
 
+    nodes = nodes.repartition(max(shards, parts(df.sparkSession)), "dim", "shard")  # else small shards would share a task
     linked = nodes.groupBy("dim", "shard").applyInArrow(link, "dim int, shard int, start int, node int, ids array<bigint>, vector array<double>, near array<int>")
     return scratch.keep(linked, "index")
 

@@ -277,27 +277,43 @@ def test_decontamination_samples_decide():
 
 
 def brute_lines(rows, min_words):
-    """Units by their keys in rank order; rows of one id and text are one document."""
-    seen, gone = {}, {}
-    ranked = sorted({(i is None, i or 0, t) for i, t in rows if t is not None}, key=lambda x: (x[0], x[1]))
-    for null, i, t in ranked:
-        places, digests = lines.keys(t, min_words)
-        marks = gone[null, i, t] = []
-        for n, p in enumerate(places):
-            d = digests[16 * n : 16 * n + 16]
-            if d in seen:
-                marks.append(p)
-            seen.setdefault(d, p)
+    """The rule by itself: units, keys of the words of a unit and of those before it, first in rank order stays."""
+    seen, gone, parts = set(), {}, {}
+    for null, i, t in sorted({(i is None, i or 0, t) for i, t in rows if t is not None}, key=lambda x: (x[0], x[1])):
+        parts[t] = units = [u for u in re.split(r"(?<=[.?!] )|(?<=\n)", t) if u]
+        words, marks = [], gone.setdefault((null, i, t), [])
+        for n, u in enumerate(units):
+            if not u.split():
+                continue
+            words.append(u.lower().split())
+            own, back = words[-1], len(words) - 1
+            while len(own) < min_words and back:
+                back -= 1
+                own = words[back] + own
+            if len(own) >= min_words:
+                if " ".join(own) in seen:
+                    marks.append(n)
+                seen.add(" ".join(own))
     out = []
     for i, t in rows:
         marks = gone.get((i is None, i or 0, t), [])
-        out.append((i, None if t is None else "".join(u for n, u in enumerate(lines.cut(t)) if n not in marks), len(marks)))
+        out.append((i, None if t is None else "".join(u for n, u in enumerate(parts[t]) if n not in marks), len(marks)))
     return sorted(out, key=repr)
 
 
-def test_lines_corpus(docs, empty, scratch):
-    got = lines.dedup(docs, scratch).collect()
-    assert sorted(((r.doc_id, r.text, r.n_removed) for r in got), key=repr) == brute_lines(corpus(), lines.MIN_WORDS)
+def test_short_copies_go_where_every_unit_counts(spark, scratch):
+    """min_words=1 has no unit that is too short."""
+    rows = [(1, "two words"), (2, "two  WORDS"), (3, "one. two words"), (4, "other? two words! x"), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.text, r.n_removed) for r in lines.dedup(df, scratch, min_words=1).collect()), key=repr)
+    assert got == brute_lines(rows, 1) and [r[1] for r in got] == ["two words", "", "one. ", "other? two words! x", ""]
+    assert [r.n_removed for r in lines.dedup(df, scratch).collect()] == [0] * 5
+
+
+@pytest.mark.parametrize("min_words", [lines.MIN_WORDS, 3])
+def test_lines_corpus(docs, empty, scratch, min_words):
+    got = lines.dedup(docs, scratch, min_words=min_words).collect()
+    assert sorted(((r.doc_id, r.text, r.n_removed) for r in got), key=repr) == brute_lines(corpus(), min_words)
     assert {r.score for r in got} == {"x"}
     texts = {(i, t) for i, t in corpus() if t}
     for r in got:
@@ -311,5 +327,6 @@ def test_lines_corpus(docs, empty, scratch):
 
 
 def test_lines_cut():
-    for t in ("", "a", "a\n", "\n\na. b. \nc", "x. . y"):
+    assert lines.cut("a. b? c! d\ne.f") == ["a. ", "b? ", "c! ", "d\n", "e.f"]
+    for t in ("", "a", "a\n", "\n\na. b. \nc", "x. . y", "! ? . "):
         assert "".join(lines.cut(t)) == t

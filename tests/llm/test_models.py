@@ -12,7 +12,7 @@ import pytest
 from llm_corpus import corpus
 from pyspark.sql import functions as F
 
-from changeloom.llm import ann, crf, decontam, hmm, lines, minhash
+from changeloom.llm import ann, crf, hmm, minhash
 SF_SMALL = "/root/testdata/sf0.001"
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -281,47 +281,3 @@ def test_marginals_by_enumeration():
 def test_lines_of_bytes():
     bins, weight, lengths = crf.lines_of(pa.array(["ab\ncd", None, "", "x\n\n", "é!"]))
     assert lengths.tolist() == [2, 1, 1, 3, 1] and weight.tolist() == [3, 3, 1, 1, 2, 1, 1, 4] and len(bins) == 8
-
-
-def test_pipeline(spark):
-    """Each stage against what its operator says of its own input."""
-    import corpus_pipeline as cp
-
-    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    names, state = [], docs
-    for name, stage in cp.STAGES[:-1]:
-        out = stage(spark, state, SF_SMALL).cache()
-        assert out.columns == docs.columns
-        before = {r.doc_id: r.text for r in state.select("doc_id", "text").collect()}
-        after = {r.doc_id: r for r in out.collect()}
-        assert set(after) <= set(before)
-        if name == "near_dedup":
-            keep = {r.doc_id for r in minhash.near_duplicates(state, minhash.Scratch(spark, "t")).where("kept").collect()}
-            assert set(after) == keep
-        elif name == "substring_dedup":
-            want = {r.doc_id: r.text for r in lines.dedup(state.select("doc_id", "text"), lines.Scratch(spark, "t")).collect()}
-            assert {i: r.text for i, r in after.items()} == want and all(r.n_chars == len(r.text) for r in after.values())
-        elif name == "decontaminate":
-            bench = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")
-            leaky = {r.doc_id for r in decontam.decontaminate(state, bench).collect()}
-            assert set(after) == set(before) - leaky
-            assert all(b.text not in t for b in bench.collect() for i, t in before.items() if i in after)
-        names.append(name)
-        state = out
-    ids = {r.doc_id for r in state.collect()}
-    assert {r.doc_id for r in cp.STAGES[-1][1](spark, state, SF_SMALL).collect()} == ids and ids
-    assert len(cp.STAGES) == 5 and cp.ORACLE_SQL is None
-
-
-def test_pipeline_on_odd_rows(spark, docs, tmp_path):
-    """Stages take nulls, repeats, empty texts and further columns."""
-    import corpus_pipeline as cp
-
-    labels = spark.createDataFrame([(0, 1), (11, 1)], "doc_id bigint, quality int")
-    labels.write.parquet(f"{tmp_path}/labels.parquet")
-    spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
-    for frame in (docs, docs.where("false")):
-        out = frame
-        for _, stage in cp.STAGES:
-            out = stage(spark, out, str(tmp_path)).cache()
-        assert (out.count() > 0) == (frame.count() > 0)

@@ -340,23 +340,21 @@ def debezium_decode(messages: DataFrame, columns: dict[str, str]) -> DataFrame:
     return m.select(F.col(f"{p}.source.db").alias("schema_name"), F.col(f"{p}.source.table").alias("table_name"), F.col(f"{p}.source.commit_ts").alias("commit_ts"), kind.alias("row_type"), F.col(f"{p}.before").alias("pre"), F.col(f"{p}.after").alias("post"))
 
 
-# Avro schemas (the binary encoder needs the spark-avro package)
+# C11: type names
 
 
-def avro_schema(df: DataFrame, name: str, namespace: str, image: str = "post") -> str:
-    """The Avro record schema of an image, nullable columns as unions."""
-    import json
-
-    kinds = {"tinyint": "int", "smallint": "int", "int": "int", "bigint": "long", "float": "float", "double": "double", "string": "string", "binary": "bytes", "boolean": "boolean"}
-    fields = [{"name": n, "type": ["null", kinds.get(k, "string")], "default": None} for n, k in _fields(df, image)]
-    return json.dumps({"type": "record", "name": name, "namespace": namespace, "fields": fields})
-
+#: Java type numbers by SQL type; blobs and character types that hold bytes are 2004.
+JAVA_TYPES = {
+    "tinyint": -6, "smallint": 5, "mediumint": 4, "int": 4, "bigint": -5, "float": 7, "double": 8, "decimal": 3, "timestamp": 93, "datetime": 93, "date": 91,
+    "time": 92, "year": 12, "enum": 4, "set": -7, "bit": -7, "json": 12, "char": 1, "varchar": 12, "tinytext": 2005, "text": 2005, "mediumtext": 2005, "longtext": 2005,
+    "binary": 2004, "varbinary": 2004, "tinyblob": 2004, "blob": 2004, "mediumblob": 2004, "longblob": 2004,
+}
 
-def avro_encode(df: DataFrame, image: str = "post") -> DataFrame:
-    """Binary Avro by the spark-avro package, which must be on the session's class path."""
-    from pyspark.sql.avro.functions import to_avro
 
-    return df.withColumn("message", to_avro(F.col(image)))
+def java_type(sql_type: Column) -> Column:
+    """C11: the Java type number of a SQL type's name, with or without length and ``unsigned``; null if unknown."""
+    bare = F.regexp_extract(F.lower(sql_type), r"^\s*([a-z]+)", 1)
+    return F.create_map(*[F.lit(x) for pair in JAVA_TYPES.items() for x in pair])[bare]
 
 
 # Large messages
@@ -420,6 +418,20 @@ def _literal(c: Column, kind: str) -> Column:
     return F.coalesce(text(c, kind), F.lit("NULL"))
 
 
+def where_handle(image: str, indexes: list[dict], names: list[str]) -> Column:
+    """Q5 by data: the primary key, else a not-null unique key, else the first unique key without a null in this row, else all columns."""
+    fixed = where_columns(indexes, [])
+    if fixed:
+        return F.array(*[F.lit(n) for n in fixed])
+    out = F.array(*[F.lit(n) for n in names])
+    for i in reversed([i for i in indexes if i.get("unique")]):
+        whole = F.lit(True)
+        for n in i["columns"]:
+            whole = whole & F.col(f"{image}.{n}").isNotNull()
+        out = F.when(whole, F.array(*[F.lit(n) for n in i["columns"]])).otherwise(out)
+    return out
+
+
 def where_columns(indexes: list[dict], names: list[str]) -> list[str]:
     """Q5: the primary key, else a not-null unique key, else all columns."""
     for wanted in ("primary", "not_null_unique"):

@@ -141,3 +141,24 @@ def assign_workers(keyed: DataFrame, txn: str, workers: int) -> DataFrame:
     held = keyed.groupBy(txn).agg(F.collect_set("holder").alias("held"))
     free = F.pmod(F.xxhash64(txn), F.lit(workers)).cast("int")
     return held.select(txn, F.when(F.size("held") == 0, free).when(F.size("held") == 1, F.element_at("held", 1)).alias("worker"))
+
+
+def barrier(events: DataFrame, reports: DataFrame, alive: DataFrame) -> DataFrame:
+    """What each blocking event's spans are told: (event, span, action write, pass or wait).
+
+    events: (event, span) that it blocks; reports: (event, span) that have
+    reached it; alive: (span).  An event goes on once all its living spans have
+    reached it; the smallest of them writes, the others pass.
+    """
+    blocked = events.join(alive, "span", "left_semi")
+    seen = blocked.join(reports.select("event", "span", F.lit(True).alias("here")).distinct(), ["event", "span"], "left")
+    state = seen.groupBy(F.col("event").alias("of")).agg(F.bool_and(F.coalesce("here", F.lit(False))).alias("all_here"), F.min("span").alias("writer"))
+    told = F.when(~F.col("all_here"), "wait").when(F.col("span") == F.col("writer"), "write").otherwise("pass")
+    return seen.join(state, F.col("event") == F.col("of")).select("event", "span", told.alias("action"))
+
+
+def released_jobs(jobs: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Finished DDL jobs that may be taken, in commit order: those at or before the resolved timestamp (one row)."""
+    level = resolved.agg(F.max("resolved_ts").alias("level"))
+    done = jobs.where("state = 'done'").join(F.broadcast(level)).where("version <= level").drop("level")
+    return done.withColumn("seq", F.row_number().over(Window.partitionBy("table_id").orderBy("version")))

@@ -138,6 +138,17 @@ def effects(ddl: DataFrame) -> DataFrame:
     )
 
 
+def named_index(query: Column, name: Column) -> Column:
+    """Q8: a statement that adds an index without a name, with the name that the source gave it; others stay."""
+    found = r"(?i)\bADD\s+((?:UNIQUE|FULLTEXT|SPATIAL)?\s*(?:INDEX|KEY))\s*\("
+    return F.when(query.rlike(found), F.replace(F.regexp_replace(query, found, "ADD $1 \u0001 ("), F.lit("\u0001"), F.concat(F.lit("`"), name, F.lit("`")))).otherwise(query)
+
+
+def waits_for_index(query: Column) -> Column:
+    """Q8: whether a DDL runs on in the background after it returns, so that the next one on its table must wait."""
+    return F.coalesce(action(query).isin("add index", "add primary key", "create hybrid index", "add fulltext index"), F.lit(False))
+
+
 def view_with_schema(query: Column, schema: Column) -> Column:
     """A view's statement with tables after FROM and JOIN that have no schema named with the given one; strings stay."""
     marked = F.regexp_replace(query, r"(?i)('(?:[^'\\]|\\.)*')|\b(FROM|JOIN)(\s+)(?!`?\w+`?\s*\.)(`?\w+`?)", "$1$2$3\u0001$4")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.operators import bookkeeping, ddl, merging
+from changeloom.functions import avro, codecs
+from changeloom.functions.globs import TableRules
+from changeloom.operators import bookkeeping, ddl, filters, merging, rewrite
 from changeloom.plans.catalog import register
 from changeloom.sources import derived
 from changeloom.sources.derived import ORDERS_SQL
@@ -233,3 +235,94 @@ def a13(spark, d):
     at = F.col("o_orderkey") % 300 * wide
     probes = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("probe"), at.alias("p_lo"), (at + 50).alias("p_hi"))
     return merging.interval_min(ranges, probes)
+
+
+_TYPE_NAMES = [("TINYINT(4)", -6), ("smallint unsigned", 5), ("int(11)", 4), ("MEDIUMINT", 4), ("bigint", -5), ("float", 7), ("double", 8), ("decimal(10,2)", 3), ("timestamp", 93), ("datetime(6)", 93), ("date", 91), ("time", 92), ("year", 12), ("enum('a','b')", 4), ("set('a')", -7), ("bit(8)", -7), ("json", 12), ("char(3)", 1), ("varchar(20)", 12), ("text", 2005), ("longtext", 2005), ("blob", 2004), ("varbinary(9)", 2004), ("geometry", None)]
+
+
+@register("c11_type_names", "SELECT n_nationkey AS nation, name, coalesce(number, 0) AS number FROM nation, (VALUES " + ", ".join(f"({_text(n)}, {'NULL' if k is None else k})" for n, k in _TYPE_NAMES) + ") AS t(name, number)")
+def c11(spark, d):
+    names = spark.createDataFrame([(n,) for n, _ in _TYPE_NAMES], "name string")
+    return spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("nation")).join(F.broadcast(names)).select("nation", "name", F.coalesce(codecs.java_type(F.col("name")), F.lit(0)).alias("number"))
+
+
+def _varint(x: str) -> str:
+    """SQL for the hex text of a zig-zag number that isn't negative."""
+    n = f"greatest(1, CAST(ceil(length(bin(2 * {x})) / 7) AS INTEGER))"
+    return f"array_to_string(list_transform(range(0, {n}), lambda i: printf('%02X', ((2 * {x}) >> (7 * i)) & 127 | CASE WHEN i + 1 < {n} THEN 128 ELSE 0 END)), '')"
+
+
+def _avro_text(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '00' ELSE '02' || printf('%02X', 2 * length({x})) || hex(encode({x})) END"
+
+
+def _avro_number(x: str) -> str:
+    return f"'02' || {_varint(x)}"
+
+
+_RECORD = " || ".join((_avro_number("{i}_key"), _avro_number("{i}_cust"), _avro_text("{i}_status"), _avro_number("{i}_price"), _avro_text("{i}_priority")))
+
+
+@register("c7_avro", C + "SELECT row_key, '000000002A' || " + _RECORD.replace("{i}", "post") + " AS message FROM c WHERE row_type <> 'D'")
+def c7(spark, d):
+    c = derived.orders_changes(spark, d).where("row_type != 'D'")  # a delete has no value, only a key
+    return c.select("row_key", F.hex(avro.envelope(avro.record(c), 42)).alias("message"))
+
+
+@register("c8_debezium_avro", C + "SELECT row_key, '0000000007' || CASE WHEN row_type = 'I' THEN '00' ELSE '02' || " + _RECORD.replace("{i}", "pre") + " END || CASE WHEN row_type = 'D' THEN '00' ELSE '02' || " + _RECORD.replace("{i}", "post") + " END || CASE row_type WHEN 'I' THEN '0263' WHEN 'U' THEN '0275' ELSE '0264' END || " + _varint("(commit_ts // 262144)") + " AS message FROM c")
+def c8(spark, d):
+    return avro.debezium_avro(derived.orders_changes(spark, d), 7).select("row_key", F.hex("message").alias("message"))
+
+
+@register("c10_consumer_checksum", C + "SELECT row_key, CAST(row_key AS BIGINT) % 50 = 7 AS corrupted FROM c WHERE row_type <> 'D'")
+def c10(spark, d):
+    """Rows whose checksum was taken before they were sent, checked after they were read back."""
+    c = derived.orders_changes(spark, d).where("row_type != 'D'")
+    names = list(derived.COLUMNS)
+    sent = c.withColumn("sent", rewrite.row_checksum(names, "post"))
+    spoilt = F.when(F.col("row_key").cast("long") % 50 == 7, F.col("post").withField("cust", F.col("post.cust") + 1)).otherwise(F.col("post"))
+    message = codecs.canal_encode(sent.withColumn("post", spoilt), ["key"]).select("row_key", "sent", "message")
+    kinds = {"key": "bigint", "cust": "bigint", "status": "string", "price": "bigint", "priority": "string"}
+    texts = message.withColumn("m", F.from_json(F.get_json_object("message", "$.data[0]"), "map<string,string>"))
+    read = texts.withColumn("post", F.struct(*[F.col("m")[n].cast(k).alias(n) for n, k in kinds.items()]))
+    return rewrite.verify_checksum(read, names, "post", "sent").select("row_key", "corrupted")
+
+
+@register("q5_where_handle", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN 'a' WHEN o_orderkey % 5 <> 0 THEN 'b,c' ELSE 'a,b,c' END AS handle, 'k' AS fixed FROM orders")
+def q5(spark, d):
+    k = F.col("o_orderkey")
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.struct(F.when(k % 3 != 0, k).alias("a"), k.alias("b"), F.when(k % 5 != 0, k).alias("c")).alias("pre"))
+    unique = [{"unique": True, "columns": ["a"]}, {"unique": True, "columns": ["b", "c"]}]
+    by_data = codecs.where_handle("pre", unique, ["a", "b", "c"])
+    fixed = codecs.where_handle("pre", [*unique, {"not_null_unique": True, "columns": ["u"]}, {"primary": True, "columns": ["k"]}], ["a", "b", "c"])
+    return o.select("o_orderkey", F.array_join(by_data, ",").alias("handle"), F.array_join(fixed, ",").alias("fixed"))
+
+
+@register("q8_index_names", "SELECT n_nationkey, 'ALTER TABLE t ADD UNIQUE KEY `i' || n_nationkey || '` (a, b)' AS named, 'ALTER TABLE t ADD INDEX j (a)' AS kept, true AS waits, false AS column_waits FROM nation")
+def q8(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey")
+    name = F.concat(F.lit("i"), F.col("n_nationkey").cast("string"))
+    plain, given = F.lit("ALTER TABLE t ADD UNIQUE KEY (a, b)"), F.lit("ALTER TABLE t ADD INDEX j (a)")
+    return n.select("n_nationkey", ddl.named_index(plain, name).alias("named"), ddl.named_index(given, name).alias("kept"), ddl.waits_for_index(plain).alias("waits"), ddl.waits_for_index(F.lit("ALTER TABLE t ADD COLUMN a INT")).alias("column_waits"))
+
+
+@register("t6_barrier", "WITH e AS (SELECT o_orderkey % 97 AS event, o_custkey % 60 AS span FROM orders GROUP BY ALL), a AS (SELECT * FROM e WHERE span % 7 <> 3), s AS (SELECT event, span, NOT (event % 5 = 0 AND span % 4 = 0) AS here FROM a), g AS (SELECT event, bool_and(here) AS ok, min(span) AS w FROM s GROUP BY 1) SELECT event, span, CASE WHEN NOT ok THEN 'wait' WHEN span = w THEN 'write' ELSE 'pass' END AS action FROM s JOIN g USING (event)")
+def t6(spark, d):
+    events = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey % 97 as event", "o_custkey % 60 as span").distinct()
+    alive = spark.range(60).where("id % 7 != 3").withColumnRenamed("id", "span")
+    return bookkeeping.barrier(events, events.where("not (event % 5 = 0 and span % 4 = 0)"), alive)
+
+
+@register("s6_released_jobs", "SELECT table_id, version, CAST(row_number() OVER (PARTITION BY table_id ORDER BY version) AS INTEGER) AS seq FROM (SELECT o_orderkey % 20 AS table_id, o_orderkey AS version FROM orders WHERE o_orderkey % 3 <> 0) WHERE version <= 1000")
+def s6(spark, d):
+    jobs = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey % 20 as table_id", "o_orderkey as version", "if(o_orderkey % 3 = 0, 'running', 'done') as state")
+    return bookkeeping.released_jobs(jobs, spark.range(1000, 1001).withColumnRenamed("id", "resolved_ts")).select("table_id", "version", "seq")
+
+
+@register("f17_filter_helper", "SELECT * FROM (VALUES ('shop', 'a', 'add column', true, true, true), ('shop', 'a', 'truncate table', true, true, false), ('audit', 'a', 'add column', false, true, false), ('mysql', 'user', 'create table', false, true, false), ('Shop', 'tmp', 'odd kind', false, false, false)) AS t(schema_name, table_name, ddl_type, table_matches, ddl_allowed, ddl_ignored)")
+def f17(spark, d):
+    tables = TableRules(("shop.*", "mysql.*", "!*.tmp"))
+    rules = [filters.EventRule(("shop.*",), ("alter table",))]
+    asked = [("shop", "a", "add column"), ("shop", "a", "truncate table"), ("audit", "a", "add column"), ("mysql", "user", "create table"), ("Shop", "tmp", "odd kind")]
+    rows = [(s, t, k, *filters.explain_filter(tables, rules, s, t, k).values()) for s, t, k in asked]
+    return spark.createDataFrame(rows, "schema_name string, table_name string, ddl_type string, table_matches boolean, ddl_allowed boolean, ddl_ignored boolean")

@@ -332,3 +332,40 @@ def test_rewritten_names(spark):
     assert got == ["ALTER TABLE t.x ADD c INT", "ALTER TABLE `n`.`m` ADD t INT", "CREATE TABLE n LIKE `n`.`m`", "INSERT INTO `n`.`m` VALUES ('t from t')", "ALTER TABLE `n`.`m` DROP t"]
     odd = spark.createDataFrame([("DROP TABLE `a.b`.`c(d`",)], "q string")
     assert odd.select(routing.rewrite_query(F.col("q"), "a.b", "c(d", "n", "m")).first()[0] == "DROP TABLE `n`.`m`"
+
+
+def test_avro_bytes(spark):
+    """Read back by a reader of the format."""
+    from changeloom.functions import avro
+
+    rows = [(None, "é", True, 1.5, b"\x00\xff"), (-(1 << 63), "", False, -0.25, b""), (300, "x" * 200, None, None, None), (-1, None, True, 0.0, b"a")]
+    df = spark.createDataFrame([(r,) for r in rows], "post struct<n bigint, s string, b boolean, d double, r binary>")
+    kinds = ["long", "string", "boolean", "double", "bytes"]
+    assert [f["type"][1] for f in json.loads(avro.schema(df, "t", "s"))["fields"]] == kinds
+
+    def number(data, at):
+        n = shift = 0
+        while True:
+            n |= (data[at] & 127) << shift
+            shift, at = shift + 7, at + 1
+            if data[at - 1] < 128:
+                return (n >> 1) ^ -(n & 1), at
+
+    for row, got in zip(rows, df.select(avro.envelope(avro.record(df), 9).alias("m")).collect(), strict=True):
+        data, at, back = bytes(got.m), 5, []
+        assert data[:5] == b"\0\0\0\0\x09"
+        for kind in kinds:
+            branch, at = number(data, at)
+            value = None
+            if branch:
+                if kind == "boolean":
+                    value, at = bool(data[at]), at + 1
+                elif kind == "double":
+                    value, at = __import__("struct").unpack_from("<d", data, at)[0], at + 8
+                else:
+                    value, at = number(data, at)
+                    if kind != "long":
+                        value, at = data[at : at + value], at + value
+                        value = value.decode() if kind == "string" else value
+            back.append(value)
+        assert tuple(back) == row and at == len(data)

@@ -172,6 +172,14 @@ def canal_watermark(marks: DataFrame, name: str = EXTENSION, kind: str = WATERMA
     return marks.withColumn("message", F.to_json(F.struct(F.lit(0).alias("id"), F.lit(kind).alias("type"), F.shiftright("ts", 18).alias("es"), F.struct(F.col("ts").alias("watermarkTs")).alias(name))))
 
 
+def canal_decode_events(messages: DataFrame, name: str = EXTENSION, watermark: str = WATERMARK_TYPE, column: str = "message") -> DataFrame:
+    """(kind row, ddl or watermark, ts, schema_name, table_name, query) of messages of all kinds."""
+    m = F.from_json(column, f"isDdl boolean, type string, database string, table string, sql string, `{name}` struct<commitTs: bigint, watermarkTs: bigint>")
+    out = messages.withColumn("m", m)
+    kind = F.when(F.col("m.type") == watermark, "watermark").when(F.col("m.isDdl"), "ddl").otherwise("row")
+    return out.select(kind.alias("kind"), F.coalesce(f"m.{name}.watermarkTs", f"m.{name}.commitTs").alias("ts"), F.col("m.database").alias("schema_name"), F.col("m.table").alias("table_name"), F.col("m.sql").alias("query"))
+
+
 # C4: open protocol
 
 
@@ -258,6 +266,19 @@ def simple_bootstrap(tables: DataFrame) -> DataFrame:
     return tables.withColumn("message", F.to_json(F.struct(F.lit(1).alias("version"), F.lit("BOOTSTRAP").alias("type"), F.col("table_id").alias("tableID"), F.col("version").alias("schemaVersion"), F.col("n_columns").alias("columns"))))
 
 
+#: The message type of a DDL's kind; all others are ALTER.
+SIMPLE_DDL = {
+    "create table": "CREATE", "recover table": "CREATE", "create schema": "QUERY", "drop schema": "QUERY", "drop table": "ERASE", "truncate table": "TRUNCATE",
+    "rename table": "RENAME", "rename tables": "RENAME", "add index": "CINDEX", "drop index": "DINDEX", "create view": "QUERY", "drop view": "QUERY",
+}
+
+
+def simple_ddl(ddl: DataFrame) -> DataFrame:
+    """A DDL's message, by kind."""
+    kind = F.coalesce(F.create_map(*[F.lit(x) for pair in SIMPLE_DDL.items() for x in pair])[F.lower("ddl_type")], F.lit("ALTER"))
+    return ddl.withColumn("message", F.to_json(F.struct(F.lit(1).alias("version"), kind.alias("type"), F.col("query").alias("sql"), F.col("version").alias("commitTs"), F.col("schema_name").alias("database"), F.col("table_name").alias("table"))))
+
+
 def simple_decode(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     """Rows whose schema version is known; ``parked`` marks those that wait for theirs."""
     m = messages.withColumn("m", F.from_json("message", "database string, table string, tableID bigint, type string, commitTs bigint, schemaVersion bigint, data map<string,string>, old map<string,string>"))

@@ -60,6 +60,17 @@ def compact(df: DataFrame, keys: list[str], seq: str, value: str, before: str) -
     return g.select(*keys, F.explode(out).alias("o")).select(*keys, "o.*")
 
 
+def broken_alternation(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """A4, A5: changes that can't follow the one before of their key: an insert after an insert or update, anything but an insert after a delete.
+
+    (keys, seq, before, row_type): what compacting a batch must refuse.
+    """
+    w = Window.partitionBy(*keys).orderBy(seq)
+    both = df.withColumn("before", F.lag("row_type").over(w))
+    bad = ((F.col("row_type") == "I") & F.col("before").isin("I", "U")) | ((F.col("row_type") != "I") & (F.col("before") == "D"))
+    return both.where(bad).select(*keys, seq, "before", "row_type")
+
+
 def last_per_key(df: DataFrame, keys: list[str], seq: str, columns: list[str]) -> DataFrame:
     """A5: safe mode: the last row of each key, by combination before the shuffle instead of a sort."""
     return df.groupBy(*keys).agg(F.max_by(F.struct(*columns), seq).alias("r")).select(*keys, "r.*")

@@ -9,6 +9,7 @@ from changeloom.functions import avro, codecs
 from changeloom.functions.globs import TableRules
 from changeloom.operators import bookkeeping, ddl, filters, merging, rewrite
 from changeloom.plans.catalog import register
+from changeloom.plans.changefeed import Changefeed
 from changeloom.sources import derived
 from changeloom.sources.derived import ORDERS_SQL
 
@@ -326,3 +327,48 @@ def f17(spark, d):
     asked = [("shop", "a", "add column"), ("shop", "a", "truncate table"), ("audit", "a", "add column"), ("mysql", "user", "create table"), ("Shop", "tmp", "odd kind")]
     rows = [(s, t, k, *filters.explain_filter(tables, rules, s, t, k).values()) for s, t, k in asked]
     return spark.createDataFrame(rows, "schema_name string, table_name string, ddl_type string, table_matches boolean, ddl_allowed boolean, ddl_ignored boolean")
+
+
+_NAMED_DDL = f"SELECT *, regexp_extract(query, 'TABLE (\\w+)\\.(\\w+)', 1) AS schema_name, regexp_extract(query, 'TABLE (\\w+)\\.(\\w+)', 2) AS table_name FROM ({derived.DDL_SQL})"
+
+
+def _ddl(spark) -> DataFrame:
+    name = [F.regexp_extract("query", r"TABLE (\w+)\.(\w+)", n) for n in (1, 2)]
+    return derived.ddl_history(spark).withColumns({"schema_name": name[0], "table_name": name[1]})
+
+
+@register("c3_canal_ddl", f"SELECT 'ddl' AS kind, version AS ts, schema_name, table_name, query FROM ({_NAMED_DDL}) UNION ALL SELECT 'watermark', n_nationkey, '', '', '' FROM nation UNION ALL SELECT 'row', commit_ts, schema_name, table_name, '' FROM ({ORDERS_SQL})")
+def c3(spark, d):
+    marks = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("ts"))
+    rows = codecs.canal_encode(derived.orders_changes(spark, d), ["key"])
+    messages = codecs.canal_ddl(_ddl(spark)).select("message").unionByName(codecs.canal_watermark(marks).select("message")).unionByName(rows.select("message"))
+    return codecs.canal_decode_events(messages).na.fill("", ["schema_name", "table_name", "query"])
+
+
+@register("c5_simple_ddl", f"SELECT version, table_id, CASE ddl_type WHEN 'create table' THEN 'CREATE' WHEN 'drop table' THEN 'ERASE' WHEN 'truncate table' THEN 'TRUNCATE' WHEN 'rename table' THEN 'RENAME' ELSE 'ALTER' END AS type, query AS sql, schema_name AS database FROM ({_NAMED_DDL})")
+def c5(spark, d):
+    m = codecs.simple_ddl(_ddl(spark))
+    return m.select("version", "table_id", *[F.get_json_object("message", f"$.{n}").alias(n) for n in ("type", "sql", "database")])
+
+
+@register("changefeed_ddl", f"SELECT table_id, version, CASE WHEN schema_name = 'audit' THEN 'audit' ELSE 'to_' || schema_name END AS target_schema, 'ddl_' || schema_name AS topic, 0 AS partition FROM ({_NAMED_DDL}) WHERE schema_name IN ('shop', 'audit') AND ddl_type <> 'drop table'")
+def feed_ddl(spark, d):
+    feed = Changefeed.from_dict({"filter": {"rules": ["shop.*", "audit.*"], "event-filters": [{"matcher": ["*.*"], "ignore-event": ["drop table"]}]}, "sink": {"routes": [{"matcher": ["shop.*"], "schema": "to_{schema}"}], "topics": [{"matcher": ["*.*"], "topic": "ddl_{schema}"}], "protocol": "canal-json"}})
+    return feed.run_ddl(_ddl(spark)).select("table_id", "version", "target_schema", "topic", "partition")
+
+
+@register("changefeed_policies", C + "SELECT row_key, row_type, partition FROM (SELECT row_key, row_type, commit_ts % 8 AS partition FROM c WHERE row_type <> 'D' AND NOT (row_type = 'I' AND post_price * 2 > 30000000) AND post_cust % 4 <> 0)")
+def feed_policies(spark, d):
+    c = derived.orders_changes(spark, d)
+    peer = F.when(F.col("post.cust") % 4 == 0, F.col("commit_ts"))
+    c = c.withColumn("post", F.when(F.col("post").isNotNull(), F.col("post").withField("origin", peer))).withColumn("pre", F.when(F.col("pre").isNotNull(), F.col("pre").withField("origin", F.lit(None).cast("bigint"))))
+    feed = Changefeed.from_dict({"filter": {"event-filters": [{"matcher": ["*.*"], "ignore-insert-value-expr": "twice > 30000000"}]}, "virtual-columns": {"twice": "price * 2"}, "row-policy": "active-active", "origin-column": "origin", "sink": {"partition": "ts"}})
+    return feed.run(c).select("row_key", "row_type", "partition")
+
+
+@register("a4_broken_alternation", "WITH r AS (SELECT event_id AS seq, event_id % 50 AS key, CASE event_id * 7 % 11 % 3 WHEN 0 THEN 'I' WHEN 1 THEN 'U' ELSE 'D' END AS row_type FROM events), l AS (SELECT *, lag(row_type) OVER (PARTITION BY key ORDER BY seq) AS before FROM r) SELECT key, seq, before, row_type FROM l WHERE (row_type = 'I' AND before IN ('I', 'U')) OR (row_type <> 'I' AND before = 'D')")
+def a4(spark, d):
+    k = F.col("event_id")
+    kind = F.when(k * 7 % 11 % 3 == 0, "I").when(k * 7 % 11 % 3 == 1, "U").otherwise("D")
+    rows = spark.read.parquet(f"{d}/events.parquet").select(k.alias("seq"), (k % 50).alias("key"), kind.alias("row_type"))
+    return merging.broken_alternation(rows, ["key"], "seq")

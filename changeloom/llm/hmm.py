@@ -40,7 +40,7 @@ from changeloom.llm.shared import Scratch, byte_column, gathered, parts, tune, w
 
 STATES, DISCOUNT, RUN, SAMPLE = 4, 0.75, 512, 600
 #: Bytes of text in a batch; distinct words (of all batches together) that a bucket adds up.
-BATCH, BUCKET_WORDS = 8 << 20, 1_000_000
+BATCH, BUCKET_WORDS = 12 << 20, 1_000_000
 #: Most steps of k-means, fewest and most Baum-Welch rounds; both stop before, once settled.
 STEPS, LEAST, ROUNDS = 30, 5, 20
 #: Baum-Welch stops when a round adds less than this share to the log likelihood.
@@ -48,7 +48,7 @@ SETTLED = 0.0001
 #: The word that ends each document.
 END = np.uint64(0x656E64)
 FOLDS, HELD = 7, 2
-_TOKENS = "batch bigint, docs array<{kind}>, n_words bigint, lengths binary, train binary, state binary, words binary, at binary"
+_TOKENS = "batch bigint, docs array<{kind}>, n_words bigint, lengths binary, train binary, state binary, words binary, often binary, codes binary, at binary"
 
 
 def _pack_planes(x: np.ndarray) -> bytes:
@@ -61,6 +61,22 @@ def _unpack_planes(x: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def _pack_places(at: np.ndarray, words: int) -> tuple[bytes, bytes, bytes]:
+    """Numbers below ``words`` in three parts: the 255 most frequent ones, a byte for each number that is one of them or 0, and all others in full."""
+    often = np.argsort(-np.bincount(at, minlength=words), kind="stable")[:255].astype(np.int32)
+    code = np.zeros(words, np.uint8)
+    code[often] = np.arange(1, len(often) + 1)
+    codes = code[at]
+    return _pack(often), _pack(codes), _pack_planes(at[codes == 0].astype(np.int32))
+
+
+def _unpack_places(row: dict) -> np.ndarray:
+    often, codes = _unpack(row["often"], np.int32), _unpack(row["codes"], np.uint8)
+    at = np.concatenate([np.zeros(1, np.int32), often])[codes]
+    at[codes == 0] = _unpack_planes(row["at"], np.int32)
+    return at
+
+
 def _pack_sorted(x: np.ndarray) -> bytes:
     return _pack_planes(np.diff(x, prepend=np.uint64(0)))
 
@@ -184,8 +200,8 @@ def pack_tokens(df: DataFrame, start: np.ndarray, scratch: Scratch, id_col: str,
             train = np.array([not held_out(x) for x in batch.column(0).to_pylist()], np.uint8)
             state = ((_histograms(batch.column(1))[:, None] - start[None]) ** 2).sum(2).argmin(1).astype(np.uint8)
             ids = pa.ListArray.from_arrays(pa.array([0, docs], pa.int32()), batch.column(0))
-            blobs = [pa.array([x], pa.binary()) for x in (_pack(lengths.astype(np.int32)), _pack(train), _pack(state), _pack_sorted(words), _pack_planes(at.astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays([pa.array([first + n]), ids, pa.array([len(words)]), *blobs], ["batch", "docs", "n_words", "lengths", "train", "state", "words", "at"])
+            blobs = [pa.array([x], pa.binary()) for x in (_pack(lengths.astype(np.int32)), _pack(train), _pack(state), _pack_sorted(words), *_pack_places(at, len(words)))]
+            yield pa.RecordBatch.from_arrays([pa.array([first + n]), ids, pa.array([len(words)]), *blobs], ["batch", "docs", "n_words", "lengths", "train", "state", "words", "often", "codes", "at"])
 
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return scratch.keep(texts.mapInArrow(run, _TOKENS.format(kind=kind)), "tokens")
@@ -406,7 +422,7 @@ def score(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for row in batch.to_pylist():
                 lengths, train, state = _unpack(row["lengths"], np.int32), _unpack(row["train"], np.uint8), _unpack(row["state"], np.uint8)
-                words, at = _unpack_sorted(row["words"]), _unpack_planes(row["at"], np.int32)
+                words, at = _unpack_sorted(row["words"]), _unpack_places(row)
                 use, own = np.repeat(train, lengths).astype(np.float64), np.repeat(state, lengths)
                 expected = np.stack([np.bincount(at, use * (own == k), len(words)) for k in range(STATES)], 1)
                 moves = np.diag([float(((lengths - 1) * train * (state == k)).sum()) for k in range(STATES)])
@@ -436,7 +452,7 @@ def score(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
             out = []
             for row in own.to_pylist():
                 lengths, train = _unpack(row["lengths"], np.int32).astype(np.int64), _unpack(row["train"], np.uint8).astype(bool)
-                words, at = _unpack_sorted(row["words"]), _unpack_planes(row["at"], np.int32)
+                words, at = _unpack_sorted(row["words"]), _unpack_places(row)
                 count, share = _answers(back)
                 walk = _Walk(lengths[train])
                 at = at[np.repeat(train, lengths)][walk.order]
@@ -462,7 +478,7 @@ def score(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
         found = []
         for row in own.to_pylist():
             lengths, train = _unpack(row["lengths"], np.int32).astype(np.int64), _unpack(row["train"], np.uint8)
-            at, (count, share) = _unpack_planes(row["at"], np.int32), _answers(back_)
+            at, (count, share) = _unpack_places(row), _answers(back_)
             doc, n = np.repeat(np.arange(len(lengths)), lengths), len(lengths)
             base = np.bincount(doc, np.log10((count + 1) / (final.tokens + final.words + 1))[at], n)
             known = np.bincount(doc, count[at] > 0, n).astype(np.int64)

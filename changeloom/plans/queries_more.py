@@ -372,3 +372,58 @@ def a4(spark, d):
     kind = F.when(k * 7 % 11 % 3 == 0, "I").when(k * 7 % 11 % 3 == 1, "U").otherwise("D")
     rows = spark.read.parquet(f"{d}/events.parquet").select(k.alias("seq"), (k % 50).alias("key"), kind.alias("row_type"))
     return merging.broken_alternation(rows, ["key"], "seq")
+
+
+def _json(pairs: list[tuple[str, str]]) -> str:
+    """SQL for the text of a JSON object; values are SQL for texts."""
+    return "'{' || " + " || ',' || ".join(f"'\"{n}\":' || {v}" for n, v in pairs) + " || '}'"
+
+
+def _quoted(x: str) -> str:
+    return f"'\"' || {x} || '\"'"
+
+
+def _plain(image: str, text: bool) -> str:
+    """SQL for an image's JSON: numbers as they are, or all as text."""
+    return _json([(n, f"CAST({image}_{n} AS VARCHAR)" if n in ("key", "cust", "price") and not text else _quoted(f"{image}_{n}")) for n in derived.COLUMNS])
+
+
+_CANAL = _json([
+    ("id", "'0'"), ("database", _quoted("schema_name")), ("table", _quoted("table_name")), ("pkNames", "'[\"key\"]'"), ("isDdl", "'false'"),
+    ("type", "CASE row_type WHEN 'I' THEN '\"INSERT\"' WHEN 'U' THEN '\"UPDATE\"' ELSE '\"DELETE\"' END"), ("es", "commit_ts // 262144"), ("sql", "'\"\"'"),
+    ("sqlType", "'{\"key\":-5,\"cust\":-5,\"status\":12,\"price\":-5,\"priority\":12}'"), ("mysqlType", "'{\"key\":\"bigint\",\"cust\":\"bigint\",\"status\":\"varchar\",\"price\":\"bigint\",\"priority\":\"varchar\"}'"),
+    ("old", f"CASE WHEN row_type = 'U' THEN '[' || {_plain('pre', True)} || ']' ELSE 'null' END"), ("data", f"'[' || CASE WHEN row_type = 'D' THEN {_plain('pre', True)} ELSE {_plain('post', True)} END || ']'"), ("_ext", "'{\"commitTs\":' || commit_ts || '}'"),
+])
+
+
+@register("c2_canal_text", C + f"SELECT row_key, {_CANAL} AS message FROM c")
+def c2_text(spark, d):
+    return codecs.canal_encode(derived.orders_changes(spark, d), ["key"]).select("row_key", "message")
+
+
+def _cells(image: str) -> str:
+    cell = {"key": ("8,\"h\":true,\"f\":10", False), "cust": ("8,\"f\":64", False), "status": ("15,\"f\":64", True), "price": ("8,\"f\":64", False), "priority": ("15,\"f\":64", True)}
+    return _json([(n, f"'{{\"t\":{head},\"v\":' || " + (_quoted(f"{image}_{n}") if text else f"{image}_{n}") + " || '}'") for n, (head, text) in cell.items()])
+
+
+_OPEN = C + ", o AS (SELECT *, " + _json([("ts", "commit_ts"), ("scm", _quoted("schema_name")), ("tbl", _quoted("table_name")), ("t", "'1'")]) + f" AS k, CASE row_type WHEN 'D' THEN '{{\"d\":' || {_cells('pre')} WHEN 'I' THEN '{{\"u\":' || {_cells('post')} ELSE '{{\"u\":' || {_cells('post')} || ',\"p\":' || {_cells('pre')} END || '}}' AS v FROM c)"
+
+
+@register("c4_open_text", _OPEN + " SELECT row_key, k AS msg_key, v AS msg_value FROM o")
+def c4_text(spark, d):
+    return codecs.open_encode(derived.orders_changes(spark, d), ["key"]).select("row_key", "msg_key", "msg_value")
+
+
+@register("c4_open_bytes", _OPEN + """, n AS (SELECT *, row_number() OVER (PARTITION BY schema_name ORDER BY commit_ts, k, v) AS n FROM o)
+SELECT schema_name AS topic, CAST((n - 1) // 16 AS BIGINT) AS batch, sha256('0000000000000001' || string_agg(printf('%016X', length(k)) || hex(encode(k)), '' ORDER BY n)) AS key_frame, sha256(string_agg(printf('%016X', length(v)) || hex(encode(v)), '' ORDER BY n)) AS value_frame FROM n GROUP BY schema_name, (n - 1) // 16""")
+def c4_bytes(spark, d):
+    m = codecs.open_encode(derived.orders_changes(spark, d), ["key"]).withColumns({"topic": F.col("schema_name"), "partition": F.lit(0)})
+    return codecs.open_frames(m).select("topic", F.col("batch").cast("bigint").alias("batch"), *[F.sha2(F.hex(c), 256).alias(c) for c in ("key_frame", "value_frame")])
+
+
+_SOURCE = _json([("connector", "'\"mysql\"'"), ("cluster_id", "'\"one\"'"), ("ts_ms", "commit_ts // 262144"), ("db", _quoted("schema_name")), ("table", _quoted("table_name")), ("commit_ts", "commit_ts")])
+
+
+@register("c6_debezium_text", C + f"SELECT row_key, '{{\"payload\":{{\"source\":' || {_SOURCE} || ',\"ts_ms\":' || commit_ts // 262144 || ',\"op\":\"' || CASE row_type WHEN 'I' THEN 'c' WHEN 'U' THEN 'u' ELSE 'd' END || '\"' || CASE WHEN row_type <> 'I' THEN ',\"before\":' || {_plain('pre', False)} ELSE '' END || CASE WHEN row_type <> 'D' THEN ',\"after\":' || {_plain('post', False)} ELSE '' END || '}}}}' AS message FROM c")
+def c6_text(spark, d):
+    return codecs.debezium_encode(derived.orders_changes(spark, d), "one").select("row_key", "message")

@@ -9,6 +9,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from changeloom.llm import bpe, chat, sstable
@@ -74,6 +75,33 @@ def test_tables(spark, docs, empty, scratch):
     assert sum(len(sstable.open_table(f).get(None)) for f in files) == 2
 
 
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_tables_of_other_ids(spark, scratch, kind):
+    """Ids come back as they went in: text in the order of its bytes, and small integers."""
+    t = Tokenizer.from_file(TOK)
+    rows = [("10", "one two"), ("9", "three"), ("1", None), (None, "four"), ("7", "")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    out = sstable.read_tables(sstable.write_tables(df, TOK, 2, scratch))
+    assert dict(out.dtypes)["doc_id"] == kind
+    got = [(r.doc_id, r.token_ids) for r in out.orderBy("start").collect()]
+    own = [(None if i is None else int(i) if kind == "int" else i, t.encode(x or "", add_special_tokens=False).ids + [2]) for i, x in rows]
+    assert got == sorted(own, key=lambda r: (r[0] is not None, r[0] or 0 if kind == "int" else r[0] or ""))
+
+
+def test_round_trip_is_both_steps(docs, empty):
+    both = bpe.decode(bpe.encode(docs, PATH, P.PATTERN), PATH, P.PATTERN)
+    one = bpe.round_trip(docs, PATH, P.PATTERN)
+    assert Counter(str(r) for r in one.collect()) == Counter(str(r) for r in both.collect()) and one.columns == both.columns
+    assert bpe.round_trip(empty, PATH, P.PATTERN).count() == 0
+
+
+def test_tied_turns_are_ordered_by_their_own_text(spark):
+    """`#` comes before letters, though its escape doesn't."""
+    df = spark.createDataFrame([(1, 1, "user", "#z"), (1, 1, "user", "A"), (1, 1, "a:", "x"), (1, 1, "a#", "y")], "conv_id bigint, turn int, role string, text string")
+    turns = chat.parse_chat(chat.format_chat(df)).first().turns
+    assert [tuple(t) for t in turns] == [("a#", "y"), ("a:", "x"), ("user", "#z"), ("user", "A")]
+
+
 def test_table_blocks(tmp_path):
     """Many keys over many blocks, with one key across a block's border."""
     with open(tmp_path / "t", "wb") as f:

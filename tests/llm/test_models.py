@@ -57,6 +57,18 @@ def test_neighbours_recall(spark, scratch):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+def test_hashes_of_a_vector_are_independent(spark):
+    rows = ann.usable(spark.range(2000).selectExpr("id as vec_id", "array(cast(id as double), 1D) as embedding"), "vec_id", "embedding")
+    from pyspark.sql.functions import expr
+
+    assert rows.where(expr("xxhash64(1, v1)") == F.col("v2")).count() == 0 and rows.where(expr("xxhash64(v1, 1)") == F.col("v2")).count() == 0
+    assert rows.select(F.xxhash64(F.lit(1), "vector").alias("x"), "v2").where("x = v2").count() == 2000
+
+
+def test_shards_grow_with_the_data():
+    assert [ann.shards_for(n, 8) for n in (0, 1, 4096, 4097, 8 * 65536, 80 * 65536)] == [1, 1, 1, 2, 8, 80]
+
+
 def test_graph_is_pruned_and_connected():
     x = np.random.default_rng(1).normal(size=(700, 16)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)

@@ -43,8 +43,8 @@ SURE = 0.95
 PERIOD = 256
 #: Bytes of items that one pass over the documents holds; more items take more passes.
 ITEM_BYTES = 4 << 20
-#: Places that are looked up at once, and bytes of windows that are embedded at once.
-PLACES, WINDOW_BYTES = 1 << 20, 8 << 20
+#: Places that are looked up at once, hits that are put into bins at once, and bytes of windows that are embedded at once.
+PLACES, HITS, WINDOW_BYTES = 1 << 18, 1 << 17, 8 << 20
 #: Bytes of an item up to which it is verified in step with others.
 TOGETHER = 512
 _MAP_BITS = 22
@@ -205,7 +205,12 @@ class Items:
                 row = np.repeat(np.arange(len(gram)), count)
                 which = np.arange(len(row)) + np.repeat(lo - (np.cumsum(count) - count), count)
                 found.append(own[which] + (maybe[row] + (from_ + self.longest)) * self.pieces)
-        return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        if not found:
+            return np.zeros(0, np.int64)
+        hits = np.concatenate(found)
+        del found
+        hits.sort()  # in place: a batch can have millions
+        return hits
 
     def _span(self, low: np.ndarray) -> int:
         """More than all places where an item could begin, so that items stay apart."""
@@ -217,11 +222,27 @@ class Items:
         Hits fall into bins as wide as the item's limit; two bins side by side
         hold all that belong to one place.  They propose it if they hold enough
         different pieces, and the window begins where their middle hit says.
+        Bins never hold hits of two items, so items are taken a few at a time,
+        whole, of about HITS hits together.
         """
-        none = np.zeros(0, np.int64)
-        hits = self._hits(low)
-        if not len(hits):
-            return none, none, none
+        hits, found, from_ = self._hits(low), [], 0
+        own = self._span(low) * self.pieces  # so many numbers are an item's
+        while from_ < len(hits):
+            to = len(hits)
+            if from_ + HITS < to:
+                item = int(hits[from_ + HITS]) // own
+                to = int(np.searchsorted(hits, item * own))
+                if to <= from_:
+                    to = int(np.searchsorted(hits, (item + 1) * own))
+            found.append(self._proposed(hits[from_:to], low, offsets))
+            from_ = to
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        text, item, start = map(np.concatenate, zip(*found, strict=True))
+        return text, item, start
+
+    def _proposed(self, hits: np.ndarray, low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, start) of the windows that all hits of some items propose."""
         line = hits // self.pieces
         item = line // self._span(low)
         start = line - item * self._span(low)
@@ -368,7 +389,7 @@ def clean(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str
             known = Items(*pass_)
             for batch in gathered(batches):
                 data, offsets = byte_column(batch.column(at))
-                low, places, _ = normalise(data, offsets)
+                low, places = normalise(data, offsets)[:2]
                 keep = np.ones(batch.num_rows, bool)
                 keep[[x[0] for x in known.leaks(low, places)] if pass_[0] else []] = False
                 yield batch.filter(pa.array(keep))

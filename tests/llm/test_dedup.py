@@ -330,3 +330,27 @@ def test_lines_cut():
     assert lines.cut("a. b? c! d\ne.f") == ["a. ", "b? ", "c! ", "d\n", "e.f"]
     for t in ("", "a", "a\n", "\n\na. b. \nc", "x. . y", "! ? . "):
         assert "".join(lines.cut(t)) == t
+
+
+def test_decontamination_memory(monkeypatch):
+    """Binning holds the hits of a few items at once, not of all, and proposes the same windows."""
+    import tracemalloc
+
+    from changeloom.llm.shared import byte_column
+
+    items = [t for kind in ("8 words", "40 words") for t in KINDS[kind]]
+    known = decontam.Items(list(range(len(items))), items)
+    body = prose(21, 20_000)
+    texts = [f"{body[9 * n :]} {edits(items[n], 3, n)} {body[: 5 * n]}" for n in range(20)]
+    low, places, _ = decontam.normalise(*byte_column(pa.array(texts)))
+    hits = len(known._hits(low))
+    assert hits > 8 * decontam.HITS
+    tracemalloc.start()
+    got = known.windows(low, places)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * hits + 256 * decontam.HITS
+    for bound in (1, 1000, hits):
+        monkeypatch.setattr(decontam, "HITS", bound)
+        assert all(np.array_equal(a, b) for a, b in zip(got, known.windows(low, places), strict=True))
+    assert set(range(20)) <= {int(t) for t, i in zip(*got[:2], strict=True) if t == i}

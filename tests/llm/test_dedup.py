@@ -125,6 +125,29 @@ def test_suffix_corpus(docs, empty, scratch, hot):
     assert suffix.remove_repeats(empty, scratch).count() == 0
 
 
+def test_suffix_records(spark, scratch, monkeypatch):
+    """Records between batches, buckets and shards don't grow with batches times buckets."""
+    sizes, keep, at_once = {}, scratch.keep, suffix.gathered
+
+    def kept(df, name):
+        out = keep(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(scratch, "keep", kept)
+    monkeypatch.setattr(suffix, "gathered", lambda batches: (x.slice(i, 8) for x in at_once(batches) for i in range(0, x.num_rows, 8)))
+    rows = [(n, prose(n, 60) + " " + prose(n % 40, 60)) for n in range(400)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    try:
+        got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), scratch).drop("spans", "kept").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((tuple(x) for x in got), key=repr) == brute_repeats(rows)
+    assert sizes["batches"] == 50
+    assert sizes["codes"] <= 50 / 4 * 48 + 48  # one record a batch and bucket would be nearly 2,400
+
+
 @pytest.mark.parametrize("letters", [1, 2, 4, 200])
 def test_suffix_array(letters):
     r = random.Random(letters)

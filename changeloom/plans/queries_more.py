@@ -232,7 +232,8 @@ def l8(spark, d):
 @register("a13_interval_wide", "SELECT o_orderkey AS probe, min(p.ts) AS ts FROM orders JOIN (SELECT p_partkey * 100000000000000 AS lo, (p_partkey + p_size) * 100000000000000 AS hi, p_partkey * 7 % 1000 AS ts FROM part) p ON p.lo < (o_orderkey % 300) * 100000000000000 + 50 AND (o_orderkey % 300) * 100000000000000 < p.hi GROUP BY 1")
 def a13(spark, d):
     wide = 100000000000000
-    ranges = spark.read.parquet(f"{d}/part.parquet").select((F.col("p_partkey") * wide).alias("lo"), ((F.col("p_partkey") + F.col("p_size")) * wide).alias("hi"), (F.col("p_partkey") * 7 % 1000).alias("ts"))
+    key = F.col("p_partkey").cast("decimal(20,0)")  # of many parts the ends don't fit in 64 bits
+    ranges = spark.read.parquet(f"{d}/part.parquet").select((key * wide).alias("lo"), ((key + F.col("p_size")) * wide).alias("hi"), (F.col("p_partkey") * 7 % 1000).alias("ts"))
     at = F.col("o_orderkey") % 300 * wide
     probes = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("probe"), at.alias("p_lo"), (at + 50).alias("p_hi"))
     return merging.interval_min(ranges, probes)

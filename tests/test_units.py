@@ -369,3 +369,14 @@ def test_avro_bytes(spark):
                         value = value.decode() if kind == "string" else value
             back.append(value)
         assert tuple(back) == row and at == len(data)
+
+
+def test_intervals_beyond_64_bits(spark):
+    """Ends of ranges that don't fit, ranges over nearly all of the line, and several probes of one interval."""
+    top = (1 << 63) - 1
+    spans = [(top + 5, 10**20, 1), (top - 9, 10**20, 2), (-(10**20), 5 - top, 3), (-(10**20), 10**20, 9), (-top, top, 8), (7, 7, 0), (40, 50, 4)]
+    at = [(1, 45, 46), (2, 45, 46), (3, top - 1, top), (4, -top, 1 - top), (5, -top - 1, -top), (6, -top, top), (7, 50, 60), (8, 9, 9)]
+    want = {p: min((t for lo, hi, t in spans if lo < hi and lo < b and a < hi), default=None) for p, a, b in at if a < b}
+    ranges = spark.createDataFrame([(str(a), str(b), t) for a, b, t in spans], "lo string, hi string, ts bigint").selectExpr("cast(lo as decimal(38,0)) lo", "cast(hi as decimal(38,0)) hi", "ts")
+    got = merging.interval_min(ranges, spark.createDataFrame(at, "probe bigint, p_lo bigint, p_hi bigint")).collect()
+    assert {r.probe: r.ts for r in got} == want and len(got) == len(want)

@@ -20,13 +20,14 @@ def scan_log(spark: SparkSession, path: str, start: int, end: int, tables: list[
 
 
 def data_path(date: bool = False, partitioned: bool = False, extension: str = "json") -> Column:
-    """schema/table/version[/partition][/date]/CDC000001.ext"""
+    """schema/table/version[/partition][/date]/CDC000001.ext; an index of more than six digits stays whole."""
     parts = [F.col("schema_name"), F.col("table_name"), F.col("version").cast("string")]
     if partitioned:
         parts.append(F.col("table_id").cast("string"))
     if date:
         parts.append(F.col("date"))
-    return F.concat_ws("/", *parts, F.concat(F.lit("CDC"), F.lpad(F.col("idx").cast("string"), 6, "0"), F.lit("." + extension)))
+    index = F.col("idx").cast("string")
+    return F.concat_ws("/", *parts, F.concat(F.lit("CDC"), F.lpad(index, F.greatest(F.length(index), F.lit(6)), F.lit("0")), F.lit("." + extension)))
 
 
 def schema_path() -> Column:

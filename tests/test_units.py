@@ -380,3 +380,20 @@ def test_intervals_beyond_64_bits(spark):
     ranges = spark.createDataFrame([(str(a), str(b), t) for a, b, t in spans], "lo string, hi string, ts bigint").selectExpr("cast(lo as decimal(38,0)) lo", "cast(hi as decimal(38,0)) hi", "ts")
     got = merging.interval_min(ranges, spark.createDataFrame(at, "probe bigint, p_lo bigint, p_hi bigint")).collect()
     assert {r.probe: r.ts for r in got} == want and len(got) == len(want)
+
+
+def test_file_numbers_over_six_digits(spark, tmp_path):
+    """Files of long numbers have names of their own, and s8 finds the same as its SQL."""
+    import duckdb
+    from compare import rows_of, rows_of_sql
+
+    from changeloom.plans import catalog
+
+    rows = spark.range(999_990, 1_000_030).select(F.col("id").alias("p_partkey"), (F.col("id") % 3 + 1).cast("int").alias("p_size"))
+    rows.write.parquet(f"{tmp_path}/part.parquet")
+    files = rows.select(F.lit("a").alias("schema_name"), F.lit("b").alias("table_name"), F.lit(1).alias("version"), F.col("p_partkey").alias("idx")).withColumn("path", storage.data_path())
+    assert files.select("path").distinct().count() == 40
+    assert files.where(storage.parse_path(F.col("path"))["idx"] == F.col("idx")).count() == 40
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert rows_of(catalog.queries()["s8_new_files"](spark, str(tmp_path))) == rows_of_sql(con, catalog.oracle_sql()["s8_new_files"])

@@ -386,7 +386,7 @@ def limit_message(df: DataFrame, limit: int, mode: str, message: str = "message"
 
     ``small``: the handle-key-only message, an error too if it is still too long.
     claim-check leaves the whole message in ``claim_payload`` beside its place;
-    write_claims must have written them before the messages are sent.
+    write_claims or store_claims must have written them before the messages are sent.
     """
     size = F.octet_length(message)
     if mode == "claim-check":
@@ -430,6 +430,31 @@ def write_claims(df: DataFrame) -> DataFrame:
     return df.where("claim_check is not null").select("claim_check", "claim_payload").mapInArrow(run, "path string, bytes bigint")
 
 
+#: Rows of stored claims for each task that fetches them.
+CLAIMS_EACH = 250_000
+
+
+def store_claims(df: DataFrame, location: str) -> None:
+    """claim_payload of all rows that have them as one table of (claim_check, claim_payload) at a new location.
+
+    For messages by the million, of which write_claims makes as many files:
+    here a task writes one, and places are keys of the table.
+    """
+    df.where("claim_check is not null").select("claim_check", "claim_payload").write.option("compression", "zstd").parquet(location)
+
+
+def fetch_claims(df: DataFrame, location: str, message: str = "message") -> DataFrame:
+    """Messages with what store_claims put aside for them (``raw`` payloads) in their place again; the other columns as they are."""
+    spark = df.sparkSession
+    stored = spark.read.schema("claim_check string, claim_payload string").parquet(location)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored.count() // CLAIMS_EACH))
+    # equal messages have one place
+    stored = stored.select(F.col("claim_check").alias("place_"), F.col("claim_payload").alias("stored_")).repartition(n, "place_").dropDuplicates(["place_"])
+    rows = df.drop("claim_payload")
+    away = rows.where("claim_check is not null").repartition(n, "claim_check").join(stored, F.col("claim_check") == F.col("place_"), "left")
+    return rows.where("claim_check is null").unionByName(away.withColumn(message, F.col("stored_")).drop("place_", "stored_"))
+
+
 # Q1-Q5: statements
 
 

@@ -462,14 +462,9 @@ def c6(spark, d):
 @register("c9_claim_check", C + "SELECT row_key, length(line) > 60 AS moved, line FROM (SELECT row_key, '\"' || row_type || '\",\"' || table_name || '\",\"' || schema_name || '\",' || commit_ts || ',' || coalesce(post_key, pre_key) || ',' || coalesce(post_cust, pre_cust) || ',\"' || coalesce(post_status, pre_status) || '\",' || coalesce(post_price, pre_price) || ',\"' || coalesce(post_priority, pre_priority) || '\"' AS line FROM c)")
 def c9(spark, d):
     place = work_dir(spark, "claims")
-    place = place if "://" in place else f"file://{place}"
-    m = codecs.limit_message(codecs.csv_encode(derived.orders_changes(spark, d)), 60, "claim-check", "line", place, raw=True)
-    n = codecs.write_claims(m).agg(F.count("*")).first()[0]
-    sent = m.select("row_key", "line", F.regexp_extract("claim_check", r"[^/]+$", 0).alias("name"))
-    if not n:
-        return sent.select("row_key", F.col("name").isNotNull().alias("moved"), "line")
-    files = spark.read.text(place, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"[^/]+$", 0).alias("file"), F.col("value").alias("stored"))
-    return sent.join(files, F.col("name") == F.col("file"), "left").select("row_key", F.col("name").isNotNull().alias("moved"), F.coalesce("line", "stored").alias("line"))
+    m = codecs.limit_message(codecs.csv_encode(derived.orders_changes(spark, d)).select("row_key", "line"), 60, "claim-check", "line", place, raw=True)
+    codecs.store_claims(m, place)
+    return codecs.fetch_claims(m, place, "line").select("row_key", F.col("claim_check").isNotNull().alias("moved"), "line")
 
 
 @register("q1_statements", C + "SELECT row_key, CASE row_type WHEN 'U' THEN 'UPDATE `' || schema_name || '`.`' || table_name || '` SET `key` = ' || post_key || ',`cust` = ' || post_cust || ',`status` = ''' || post_status || ''',`price` = ' || post_price || ',`priority` = ''' || post_priority || ''' WHERE `key` = ' || pre_key || ' LIMIT 1' WHEN 'D' THEN 'DELETE FROM `' || schema_name || '`.`' || table_name || '` WHERE `key` = ' || pre_key || ' LIMIT 1' ELSE 'INSERT INTO `' || schema_name || '`.`' || table_name || '` (`key`,`cust`,`status`,`price`,`priority`) VALUES (' || post_key || ',' || post_cust || ',''' || post_status || ''',' || post_price || ',''' || post_priority || ''')' END AS statement FROM c")

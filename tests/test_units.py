@@ -1,6 +1,7 @@
 """Operators on small fixtures, where SQL can't say what is right or a case needs its own rows."""
 
 import json
+import os
 import zlib
 
 import pytest
@@ -296,6 +297,22 @@ def test_claims_are_written(spark, tmp_path):
     assert out.where("message is null").count() == 1
 
 
+def test_claims_by_the_task(spark, tmp_path, monkeypatch):
+    """c9's claims are files by the task, not by the message; equal messages, and messages without claims, come back once each."""
+    from changeloom.plans import queries_rows
+
+    monkeypatch.setattr(queries_rows, "work_dir", lambda spark, name: f"{tmp_path}/{name}")
+    assert queries_rows.c9(spark, SMALL).where("moved and line is not null").count() > 1000
+    assert len([f for _, _, names in os.walk(tmp_path / "claims") for f in names]) < 100
+    df = spark.createDataFrame([(1, "short"), (2, "x" * 50), (3, "x" * 50), (4, None), (5, "y" * 11)], "n int, message string")
+    out = codecs.limit_message(df, 10, "claim-check", location=f"{tmp_path}/c", raw=True)
+    assert out.where("message is null").count() == 4
+    codecs.store_claims(out, f"{tmp_path}/c")
+    assert sorted((r.n, r.message) for r in codecs.fetch_claims(out, f"{tmp_path}/c").collect()) == sorted((r.n, r.message) for r in df.collect())
+    codecs.store_claims(out.where("n = 1"), f"{tmp_path}/none")
+    assert codecs.fetch_claims(out.where("n = 1"), f"{tmp_path}/none").count() == 1
+
+
 def test_debezium_schema(spark):
     df = spark.createDataFrame([], "pre struct<d date, t timestamp_ntz, z timestamp, b binary>, post struct<d date, t timestamp_ntz, z timestamp, b binary>")
     s = json.loads(codecs.debezium_schema(df, "c", "s", "t"))

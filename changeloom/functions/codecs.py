@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.operators.ordering import numbered
+from changeloom.operators.ordering import dealt, extent, numbered
 
 EXTENSION, WATERMARK_TYPE = "_ext", "WATERMARK"
 
@@ -225,14 +225,16 @@ def open_frames(df: DataFrame, size: int = OPEN_BATCH, max_bytes: int = 1 << 20)
     counts with its two lengths; one that is larger alone is a batch alone).
     """
     rows = df.withColumn("stream_", F.concat_ws("/", "topic", F.col("partition").cast("string")))
-    rows = numbered(rows, "stream_", "commit_ts", ["msg_key", "msg_value"], "n").withColumn("n", F.col("n") - 1)
+    extent_ = extent(rows, "stream_")
+    rows = numbered(rows, "stream_", "commit_ts", ["msg_key", "msg_value"], "n", size=extent_).withColumn("n", F.col("n") - 1)
 
     def framed(c: str) -> Column:
         raw = F.col(c).cast("binary")
         return F.concat(F.unhex(F.lpad(F.hex(F.length(raw)), 16, "0")), raw)
 
     items = F.array_sort(F.collect_list(F.struct("n", framed("msg_key").alias("k"), framed("msg_value").alias("v"))))
-    g = rows.groupBy("topic", "partition", F.floor(F.col("n") / size).alias("batch")).agg(items.alias("items"))
+    rows = dealt(rows.withColumn("batch", F.floor(F.col("n") / size)), extent_[0], "topic", "partition", "batch")
+    g = rows.groupBy("topic", "partition", "batch").agg(items.alias("items"))
 
     def add(acc: Column, x: Column) -> Column:
         bytes_ = (F.octet_length(x["k"]) + F.octet_length(x["v"])).cast("bigint")

@@ -414,3 +414,22 @@ def test_file_numbers_over_six_digits(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     assert rows_of(catalog.queries()["s8_new_files"](spark, str(tmp_path))) == rows_of_sql(con, catalog.oracle_sql()["s8_new_files"])
+
+
+def test_no_join_by_the_group(spark, monkeypatch):
+    """Bounds and what is carried over slices go to the rows: a join by a few groups puts each into one task."""
+    from pyspark.sql import Window
+
+    from changeloom.operators import ordering
+
+    monkeypatch.setattr(ordering, "WHOLE", 700)
+    df = spark.range(9000).select((F.when(F.col("id") % 9 < 5, 1).when(F.col("id") < 8991, 2)).alias("table_id"), (F.col("id") * 7919 % 4099).alias("commit_ts"), F.col("id").cast("string").alias("row_key"))
+    w = Window.partitionBy("table_id").orderBy("commit_ts", "row_key")
+    got = ordering.numbered(df, "table_id", "commit_ts", ["row_key"], whole=700)
+    assert got.exceptAll(df.withColumn("seq", F.row_number().over(w))).isEmpty() and got.count() == 9000
+    assert got.rdd.getNumPartitions() == 13 and max(got.rdd.glom().map(len).collect()) < 3000
+    run = ordering.carried(df, "table_id", "commit_ts", ["row_key"], F.col("row_key").cast("long"), "sum", "v", True, whole=700)
+    assert run.exceptAll(df.withColumn("v", F.sum(F.col("row_key").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))).isEmpty()
+    cut = ordering.sliced(df, "table_id", "commit_ts", "slice", whole=700).groupBy("table_id", "slice").count().collect()
+    assert len(cut) == 17 and max(r["count"] for r in cut) < 1500
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from changeloom.operators import merging, progress
 
 
+#: As many files of a batch as there are.
+ALL = (1 << 31) - 1
+
+
 def file_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
     """A folder of change files as a stream; the checkpoint remembers which were read."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)

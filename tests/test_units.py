@@ -433,3 +433,26 @@ def test_no_join_by_the_group(spark, monkeypatch):
     cut = ordering.sliced(df, "table_id", "commit_ts", "slice", whole=700).groupBy("table_id", "slice").count().collect()
     assert len(cut) == 17 and max(r["count"] for r in cut) < 1500
     assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_applying_in_many_tasks(spark, monkeypatch):
+    """o1's input isn't drawn into one task: its two batches have several files each."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from changeloom.plans import queries_sets
+
+    tasks, write = [], DataFrameWriter.parquet
+
+    def seen(self, path, *a, **b):
+        if path.endswith("/in"):
+            tasks.append(self._df.rdd.getNumPartitions())
+        return write(self, path, *a, **b)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert queries_sets.o1(spark, SMALL).count() > 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(tasks) == 2 and min(tasks) > 1
